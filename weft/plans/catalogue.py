@@ -1,0 +1,15 @@
+"""Query catalogue over the parquet tables."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
