@@ -20,19 +20,26 @@ def vocabulary_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Exact ids of a tokenizer whose pieces never cross ASCII white space.
+    """Exact ids of a tokenizer that lower-cases, drops white space and marks the last id of every word.
 
-    Texts are cut at ASCII white space in Arrow, each distinct chunk is encoded once, and the ids are gathered.
-    Chunks are encoded many at a time, with a special token between them whose id separates the results.
+    Texts are cut at ASCII white space in Arrow and each distinct chunk is encoded once. A chunk of Latin letters is one
+    word, so many of them are encoded as one text and told apart by the ids that end words; one comma or full stop after
+    them is a word of its own. All other chunks are encoded between special tokens.
     """
 
-    KEEP = 1_000_000
+    KEEP = 300_000
+    STOPS = (".", ",")
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>"):
+    def __init__(self, path: str, separator: str = "<|startoftext|>", ending: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
+        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in self.STOPS}
+        assert all(len(x) == 1 for x in self.stops.values())
         self._forget()
 
     def _forget(self) -> None:
@@ -40,37 +47,75 @@ class WordEncoder:
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    @staticmethod
+    def _latin(chunk: str) -> bool:
+        """Composed Latin letters, of which none turns into several or into a mark when lower-cased."""
+        return chunk.isascii() or (max(chunk) < "\u0180" and "\u0130" not in chunk and "\u0149" not in chunk)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words of Latin letters."""
+        blocks = [" ".join(words[i : i + 2048]) for i in range(0, len(words), 2048)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(blocks, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        assert len(ends) == len(words)
+        return ids, ends
+
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        odd = [c for c in chunks if "<|" in c]
-        parts = [self.ids]
-        counts = []
-        join = self.separator
-        blocks = [join.join(plain[i : i + 512]) for i in range(0, len(plain), 512)]
-        for k, found in enumerate(self.tokenizer.encode_batch(blocks, add_special_tokens=False)):
+        plain = [c for c in chunks if c.isalpha() and self._latin(c)]
+        stopped = [c for c in chunks if c[-1] in self.STOPS and c[:-1].isalpha() and self._latin(c)]
+        seen = {*plain, *stopped}
+        odd = [c for c in chunks if c not in seen]
+        words = list(dict.fromkeys([*plain, *(c[:-1] for c in stopped)]))
+        ids, ends = self._words(words)
+        place = {w: i for i, w in enumerate(words)}
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        # a stopped chunk's ids are its word's with the stop's id after them
+        which = np.array([place[c] for c in plain] + [place[c[:-1]] for c in stopped], np.int64)
+        extra = np.array([0] * len(plain) + [1] * len(stopped), np.int64)
+        size = ends[which] - begins[which] if len(which) else which
+        total = size + extra
+        stop = np.cumsum(total)
+        flat = np.zeros(stop[-1] if len(stop) else 0, np.uint32)
+        one = np.repeat(np.arange(len(which)), size)
+        within = np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size)
+        flat[(stop - total)[one] + within] = ids[begins[which][one] + within] if len(one) else 0
+        if stopped:
+            flat[stop[len(plain) :] - 1] = [self.stops[c[-1]][0] for c in stopped]
+        parts, counts = [self.ids, flat], [total]
+        simple = [c for c in odd if "<|" not in c]
+        odd = [c for c in odd if "<|" in c]
+        blocks = [self.separator.join(simple[i : i + 512]) for i in range(0, len(simple), 512)]
+        for found in self.tokenizer.encode_batch(blocks, add_special_tokens=False):
             ids = np.array(found.ids, np.uint32)
             cut = np.flatnonzero(ids == self.separator_id)
             counts.append(np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
-            assert len(counts[-1]) == len(plain[k * 512 : k * 512 + 512])
             parts.append(np.delete(ids, cut))
         for found in self.tokenizer.encode_batch(odd, add_special_tokens=False):
             counts.append(np.array([len(found.ids)]))
             parts.append(np.array(found.ids, np.uint32))
         first = len(self.known)
-        self.known.update((c, first + i) for i, c in enumerate(plain + odd))
+        self.known.update(zip([*plain, *stopped, *simple, *odd], range(first, first + len(chunks)), strict=True))
         self.ids = np.concatenate(parts)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): document i has ids[bounds[i]:bounds[i + 1]]; null reads as empty."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        coded = lists.flatten().dictionary_encode()
+        flat = lists.flatten()
+        flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat) if not pc.any(pc.match_substring(texts, "<|")).as_py() else flat
+        coded = flat.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         if len(self.known) > self.KEEP:
             self._forget()
         if new := [c for c in chunks if c not in self.known]:
-            self._learn(new)
-        where = np.array([self.known[c] for c in chunks], np.int64)
+            full = [c for c in new if c]
+            if len(full) < len(new):
+                self.known[""] = len(self.known)
+                self.at = np.append(self.at, self.at[-1])
+            if full:
+                self._learn(full)
+        where = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         codes = where[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0, np.int64)
         start, size = self.at[codes], self.at[codes + 1] - self.at[codes]
         done = np.concatenate(([0], np.cumsum(size)))
