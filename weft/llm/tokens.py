@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,13 @@ class WordEncoder:
     them is a word of its own. All other chunks are encoded between special tokens.
     """
 
-    KEEP = 300_000
+    KEEP = 150_000
+    #: Words that are encoded at once; the library's results take far more memory than the ids.
+    AT_ONCE = 8192
     STOPS = (".", ",")
 
     def __init__(self, path: str, separator: str = "<|startoftext|>", ending: str = "</w>"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads' memory adds up
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,8 +58,8 @@ class WordEncoder:
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of words of Latin letters."""
-        blocks = [" ".join(words[i : i + 2048]) for i in range(0, len(words), 2048)]
-        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(blocks, add_special_tokens=False)]
+        blocks = (" ".join(words[i : i + self.AT_ONCE]) for i in range(0, len(words), self.AT_ONCE))
+        ids = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in blocks]
         ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         assert len(ends) == len(words)
@@ -85,15 +89,15 @@ class WordEncoder:
         parts, counts = [self.ids, flat], [total]
         simple = [c for c in odd if "<|" not in c]
         odd = [c for c in odd if "<|" in c]
-        blocks = [self.separator.join(simple[i : i + 512]) for i in range(0, len(simple), 512)]
-        for found in self.tokenizer.encode_batch(blocks, add_special_tokens=False):
-            ids = np.array(found.ids, np.uint32)
+        for i in range(0, len(simple), 512):
+            ids = np.array(self.tokenizer.encode(self.separator.join(simple[i : i + 512]), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(ids == self.separator_id)
             counts.append(np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
             parts.append(np.delete(ids, cut))
-        for found in self.tokenizer.encode_batch(odd, add_special_tokens=False):
-            counts.append(np.array([len(found.ids)]))
-            parts.append(np.array(found.ids, np.uint32))
+        for c in odd:
+            ids = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32)
+            counts.append(np.array([len(ids)]))
+            parts.append(ids)
         first = len(self.known)
         self.known.update(zip([*plain, *stopped, *simple, *odd], range(first, first + len(chunks)), strict=True))
         self.ids = np.concatenate(parts)
