@@ -77,7 +77,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(lengths) // size
+        group = np.cumsum(lengths + 512) // size  # rows have a cost of their own, so short texts are bounded too
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in itertools.pairwise(cuts):
             if b > a:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, ngram_join, packing, pii, suffix_dedup, warc, webp
+from weft.llm import decontaminate, ngram_join, packing, pii, quality, suffix_dedup, warc, webp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    found = [op2_pii, op4_packing, op6_media, op7_warc, op8_ngram_join, op9_suffix_dedup, op10_decontamination]
+    found = [op2_pii, op3_quality, op4_packing, op6_media, op7_warc, op8_ngram_join, op9_suffix_dedup, op10_decontamination]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
