@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, ngram_join, packing, pii, quality, suffix_dedup, warc, webp
+from weft.llm import decontaminate, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_rollup, warc, webp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.rollup(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_column(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    found = [op2_pii, op3_quality, op4_packing, op6_media, op7_warc, op8_ngram_join, op9_suffix_dedup, op10_decontamination]
+    found = [op1_token_rollup, op2_pii, op3_quality, op4_packing, op5_line_dedup, op6_media, op7_warc, op8_ngram_join, op9_suffix_dedup, op10_decontamination]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
