@@ -86,6 +86,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def leading(w: np.ndarray, k: int, turns: int = 4) -> np.ndarray:
+    """The first k right singular vectors, by subspace iteration from a fixed start."""
+    base = np.random.default_rng(0).standard_normal((w.shape[1], k + 16)).astype(np.float32)
+    for _ in range(turns):
+        base, _ = np.linalg.qr(w.T @ (w @ base))
+    small = w @ base
+    _, vectors = np.linalg.eigh(small.T @ small)
+    return (base @ vectors[:, ::-1][:, :k]).astype(np.float32)
+
+
 class Model:
     """What the executors get: a projection, the sample's vectors, and their votes. Bounded by the parameters."""
 
@@ -93,8 +103,7 @@ class Model:
         seen = (x > 0).sum(axis=0)
         self.idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + 1
         w = weighted(x, self.idf)
-        values, vectors = np.linalg.eigh(w.T @ w)
-        self.projection = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+        self.projection = leading(w, DIMENSIONS)
         self.vectors = unit(w @ self.projection)
         self.neighbours = min(neighbours, len(x))
         share = np.array([np.mean(y == 0), np.mean(y == 1)])
