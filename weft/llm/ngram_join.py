@@ -11,8 +11,8 @@ The forest over all documents is laid out in three layers:
 2. Blocks: sets of one smallest hash under a round's permutation, in trees of bounded size. Dual traversal links what is
    similar. After each round the root's question is asked again, now for tokens that occur in more than one component,
    until no set is left that could have a partner outside its component.
-3. The rest, after ROUNDS permutations, is joined on the tokens that are rarest among it, and verified pair by pair, so
-   no link is lost.
+3. The rest, after ROUNDS permutations, falls into families that share tokens; every two chunks of a family meet in one
+   tree, so no link is lost.
 
 Equal sets are one node from the start, so copies cost nothing. Sets are compared by 64-bit hashes of their shingles.
 
@@ -28,7 +28,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
@@ -154,6 +154,32 @@ def shared_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return buckets.by_bucket(sent, TOKENS, reduce, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
 
 
+def traversed(sets: DataFrame, group: list[str]) -> DataFrame:
+    """Links (a, b) from one tree for each group of the sets (id, n, root, tokens)."""
+    width = len(group)
+
+    def run(batches):
+        def items():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in (*group, "id", "root")), batch.column("tokens"), strict=True)
+
+        a, b = [], []
+        for _, found in itertools.groupby(items(), key=lambda x: x[:width]):
+            found = list(found)
+            if len(found) < 2:
+                continue
+            for i, r in enumerate(links_within([np.frombuffer(x[-1].as_buffer(), "<u8") for x in found], [x[-2] for x in found])):
+                if r != i:
+                    a.append(found[i][-3])
+                    b.append(found[r][-3])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sets.select(*group, "n", "id", "root", "tokens").repartition(*group).sortWithinPartitions(*group, "n", "id").mapInArrow(run, "a long, b long")
+
+
 class Tree:
     """A signature tree over sets in the given order, as arrays; leaves are single sets."""
 
@@ -176,10 +202,14 @@ class Tree:
         return len(self.first) - 1
 
 
-def links_within(tokens: list[np.ndarray]) -> list[int]:
-    """For each set the first one of its component, by dual traversal of one signature tree with itself."""
+def links_within(tokens: list[np.ndarray], roots: list[int]) -> list[int]:
+    """For each set the first one of its component, by dual traversal of one signature tree with itself.
+
+    Sets of equal roots are in one component from the start.
+    """
     m = len(tokens)
-    parent = list(range(m))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(r, i) for i, r in enumerate(roots)]
 
     def find(i):
         while parent[i] != i:
@@ -195,14 +225,14 @@ def links_within(tokens: list[np.ndarray]) -> list[int]:
     kept = counts[inverse] > 1
     width = int((counts > 1).sum())
     if not width:
-        return parent
+        return [find(i) for i in range(m)]
     bits = np.zeros((m, -(-width // 64) * 64), bool)
     bits[owner[kept], column[inverse[kept]]] = True
     bitmaps = np.packbits(bits, axis=1).view(np.uint64)
     # a set that shares too few tokens with all the others together is left out
     alive = np.flatnonzero(np.bitwise_count(bitmaps).sum(axis=1) >= need(sizes))
     if len(alive) < 2:
-        return parent
+        return [find(i) for i in range(m)]
     tree = Tree(bitmaps[alive], sizes[alive])
     joined = [False] * len(tree.first)
     tree_first = [int(alive[a]) for a in tree.first]
@@ -274,86 +304,96 @@ def block_links(sets: DataFrame, turn: int) -> DataFrame:
     large = large.select("key", F.ceil(F.greatest(F.col("sets") / F.lit(TREE_SETS), F.col("total") / F.lit(TREE_TOKENS))).cast("int").alias("trees")).where("trees > 1")
     dealt = with_key.join(large, "key", "left").withColumn("tree", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("trees")), F.lit(0)))
 
-    def run(batches):
-        def items():
-            for batch in batches:
-                yield from zip(batch.column("key").to_pylist(), batch.column("tree").to_pylist(), batch.column("n").to_pylist(), batch.column("id").to_pylist(), batch.column("tokens"), strict=True)
+    return traversed(dealt.withColumn("root", F.col("id")), ["key", "tree"])
+
+
+COMPONENT_TOKENS = {"token": "<u8", "id": "<i8", "root": "<i8", "n": "<i4"}
+#: Sizes of partners are told apart in classes of this ratio.
+CLASS_RATIO = 1.04
 
-        a, b = [], []
-        for _, group in itertools.groupby(items(), key=lambda x: x[:2]):
-            group = list(group)
-            if len(group) < 2:
-                continue
-            roots = links_within([np.frombuffer(x[4].as_buffer(), "<u8") for x in group])
-            for i, r in enumerate(roots):
-                if r != i:
-                    a.append(group[i][3])
-                    b.append(group[r][3])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "n", "id").mapInArrow(run, "a long, b long")
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(CLASS_RATIO) + 1e-9).astype(np.int64)
 
 
-COMPONENT_TOKENS = {"token": "<u8", "id": "<i8", "root": "<i8"}
+def least_size(c: np.ndarray) -> np.ndarray:
+    """A size that no set of the class is under."""
+    return np.floor(CLASS_RATIO ** (c - 1e-6))
 
 
 def crossing(sets: DataFrame) -> DataFrame:
-    """Ids of the sets (id, n, tokens, root) with enough tokens that occur in another component to have a partner there."""
+    """Ids of the sets (id, n, tokens, root) that may have a partner in another component.
+
+    For each class of partners' sizes, the tokens that a set shares with sets of that class in other components are
+    counted; they must be as many as the two sizes need.
+    """
     n_buckets = 2 * shuffle_width(sets.sparkSession)
 
     def run(batches):
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             token = np.concatenate([np.frombuffer(t.as_buffer(), "<u8") for t in batch.column("tokens")] or [np.zeros(0, np.uint64)])
-            x = {"token": token, "id": np.repeat(batch.column("id").to_numpy(), sizes), "root": np.repeat(batch.column("root").to_numpy(), sizes)}
+            x = {"token": token, "id": np.repeat(batch.column("id").to_numpy(), sizes), "root": np.repeat(batch.column("root").to_numpy(), sizes), "n": np.repeat(sizes, sizes)}
             yield from buckets.packed((token % np.uint64(n_buckets)).astype(np.int64), x, COMPONENT_TOKENS)
 
     def reduce(bucket, x):
         order = np.argsort(x["token"], kind="stable")
-        token, root, ids = x["token"][order], x["root"][order], x["id"][order]
-        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        cross = np.minimum.reduceat(root, at) != np.maximum.reduceat(root, at)
-        hit, count = np.unique(ids[np.repeat(cross, np.diff(np.concatenate((at, [len(token)]))))], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count)], ["id", "shared"])
+        x = {k: v[order] for k, v in x.items()}
+        at = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1])))
+        cross = np.minimum.reduceat(x["root"], at) != np.maximum.reduceat(x["root"], at)
+        keep = np.repeat(cross, np.diff(np.concatenate((at, [len(order)]))))
+        x = {k: v[keep] for k, v in x.items()}
+        if not len(x["id"]):
+            return
+        kind = size_class(x["n"])
+        order = np.lexsort((kind, x["token"]))
+        x, kind = {k: v[order] for k, v in x.items()}, kind[order]
+        new_token = np.concatenate(([True], x["token"][1:] != x["token"][:-1]))
+        at = np.flatnonzero(new_token | np.concatenate(([True], kind[1:] != kind[:-1])))
+        low, high = np.minimum.reduceat(x["root"], at), np.maximum.reduceat(x["root"], at)
+        # every posting meets every class of its token
+        first = np.flatnonzero(new_token[at])
+        classes = np.diff(np.concatenate((first, [len(at)])))
+        group = np.cumsum(new_token) - 1
+        times = classes[group]
+        one = np.repeat(np.arange(len(group)), times)
+        met = np.repeat(first[group], times) + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+        other = (low[met] != x["root"][one]) | (high[met] != x["root"][one])
+        one, met = one[other], kind[at][met[other]]
+        pair, count = np.unique(np.stack((x["id"][one], met)), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(count)], ["id", "kind", "shared"])
 
     sent = sets.select("id", "n", "tokens", "root").mapInArrow(run, buckets.schema(COMPONENT_TOKENS))
-    counts = buckets.by_bucket(sent, COMPONENT_TOKENS, reduce, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
-    return counts.join(sets.select("id", "n"), "id").where(F.col("shared") * WHOLE >= F.col("n") * PART).select("id")
+    counts = buckets.by_bucket(sent, COMPONENT_TOKENS, reduce, "id long, kind long, shared long").groupBy("id", "kind").agg(F.sum("shared").alias("shared"))
+    partner = F.floor(F.pow(F.lit(CLASS_RATIO), F.col("kind") - 1e-6))
+    enough = (F.col("shared") * (PART + WHOLE) >= (F.col("n") + partner) * PART) & (F.col("shared") * WHOLE >= F.col("n") * PART)
+    return counts.join(sets.select("id", "n"), "id").where(enough).select("id").distinct()
 
 
 def rest_links(sets: DataFrame) -> DataFrame:
-    """Links between components among the sets that are left, by their rarest tokens and exact comparison."""
+    """Links between components among the sets (id, n, tokens, root) that are left, none of them lost.
+
+    Sets that hang together by tokens of several components make a group; a group's sets are dealt into chunks, and a tree
+    over each two chunks is traversed, so every pair of the group meets in a tree of bounded size.
+    """
 
     def explode(batches):
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             token = np.concatenate([np.frombuffer(t.as_buffer(), "<i8") for t in batch.column("tokens")] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.repeat(batch.column("root").to_numpy(), sizes)), pa.array(token)], ["id", "n", "root", "token"])
-
-    rows = sets.select("id", "n", "root", "tokens").mapInArrow(explode, "id long, n long, root long, token long")
-    common = rows.groupBy("token").agg(F.count("*").alias("sets"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token", "sets")
-    crossed = rows.join(common, "token")
-    # tokens of one component only come first in the order and cannot match; what is left of the prefix is counted from there
-    ranked = crossed.withColumns({"rank": F.row_number().over(Window.partitionBy("id").orderBy("sets", "token")), "held": F.count("*").over(Window.partitionBy("id"))})
-    prefix = ranked.where(F.col("rank") <= F.col("held") - F.ceil(F.col("n") * PART / WHOLE) + 1).select("id", "n", "root", "token")
-    left, right = (prefix.select(F.col("token"), *(F.col(c).alias(c + s) for c in ("id", "n", "root"))) for s in "ab")
-    pairs = left.join(right, "token").where("ida < idb and roota != rootb").where((F.col("na") * WHOLE >= F.col("nb") * PART) & (F.col("nb") * WHOLE >= F.col("na") * PART)).select("ida", "idb").distinct()
-    tokens = sets.select("id", "tokens")
-    both = pairs.join(tokens.select(F.col("id").alias("ida"), F.col("tokens").alias("x")), "ida").join(tokens.select(F.col("id").alias("idb"), F.col("tokens").alias("y")), "idb")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(WHOLE * shared >= PART * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("ida"), batch.column("idb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("ida", "idb", "x", "y").mapInArrow(verify, "a long, b long")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(np.repeat(batch.column("root").to_numpy(), sizes)), pa.array(token)], ["id", "root", "token"])
+
+    rows = sets.select("id", "n", "root", "tokens").mapInArrow(explode, "id long, root long, token long")
+    common = rows.groupBy("token").agg(F.min("id").alias("first"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token", "first")
+    together = components(rows.join(common, "token").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()).select("id", F.col("root").alias("family"))
+    grouped = written(sets.join(together, "id"), "families")
+    sums = grouped.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    chunks = sums.select("family", F.ceil(F.greatest(F.col("sets") * 2 / F.lit(TREE_SETS), F.col("total") * 2 / F.lit(TREE_TOKENS))).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), own))
+    dealt = grouped.join(chunks, "family").select("family", "id", "n", "root", "tokens", own.alias("own"), F.explode(other).alias("other"))
+    dealt = dealt.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "n", "id", "root", "tokens")
+    return traversed(dealt, ["family", "p", "q"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
