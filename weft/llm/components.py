@@ -15,9 +15,15 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and checksums of a set of edges: two sets that agree in them are taken for equal."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in the links (a, b): root is the smallest id of its component."""
     edges = written(links.select("a", "b").where("a != b").distinct(), "links")
+    before = _mark(edges)
     for _ in range(ROUNDS):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
@@ -26,10 +32,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(_least(large), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         after = written(small, "links")
-        done = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
         drop_written(edges)
-        edges = after
-        if done:
+        edges, last = after, before
+        before = _mark(edges)
+        if before == last:
             break
     else:
         raise RuntimeError("components did not settle")

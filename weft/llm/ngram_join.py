@@ -8,10 +8,10 @@ The forest over all documents is laid out in three layers:
 
 1. Root: its bitmap says which tokens occur in more than one set. A set with too few such tokens has no partner. This is
    first asked of a prefix of each set (its smallest hashes), where some share of the tokens of any partner must be.
-2. Blocks: sets of one smallest hash under a round's permutation, in trees of bounded size. Dual traversal links what is
+2. Blocks: sets of one smallest hash under a permutation, a few permutations a round, in trees of bounded size. Dual traversal links what is
    similar. After each round the root's question is asked again, now for tokens that occur in more than one component,
    until no set is left that could have a partner outside its component.
-3. The rest, after ROUNDS permutations, falls into families that share tokens; every two chunks of a family meet in one
+3. The rest, after some such rounds, falls into families that share tokens; every two chunks of a family meet in one
    tree, so no link is lost.
 
 Equal sets are one node from the start, so copies cost nothing. Sets are compared by 64-bit hashes of their shingles.
@@ -40,7 +40,7 @@ WORDS = 5
 PART, WHOLE = 75, 100
 #: Share of a set that must be found shared in its prefix; the prefix is longer by as much.
 SLACK = 10
-ROUNDS = 5
+ROUNDS = ((0, 1, 2), (3, 4))
 #: Bounds of one tree.
 TREE_SETS, TREE_TOKENS = 512, 1 << 20
 
@@ -290,20 +290,22 @@ def full_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFra
     return joined.select("id", "text").mapInArrow(run, "id long, n long, tokens binary")
 
 
-def block_links(sets: DataFrame, turn: int) -> DataFrame:
-    """Links (a, b) found in the trees of one round. A block of more sets than a tree holds is dealt into several."""
-    seed = mix(np.array([turn + 1], np.uint64))[0]
+def block_links(sets: DataFrame, turns: tuple[int, ...]) -> DataFrame:
+    """Links (a, b) found in the trees of some rounds. A block of more sets than a tree holds is dealt into several."""
+    seeds = [mix(np.array([t + 1], np.uint64))[0] for t in turns]
 
     def keyed(batches):
         for batch in batches:
-            keys = [int(mix(np.frombuffer(t.as_buffer(), "<u8") ^ seed).min()) - (1 << 63) for t in batch.column("tokens")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(keys, pa.int64()), batch.column("tokens")], ["id", "n", "key", "tokens"])
-
-    with_key = sets.select("id", "n", "tokens").mapInArrow(keyed, "id long, n long, key long, tokens binary")
-    large = with_key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
-    large = large.select("key", F.ceil(F.greatest(F.col("sets") / F.lit(TREE_SETS), F.col("total") / F.lit(TREE_TOKENS))).cast("int").alias("trees")).where("trees > 1")
-    dealt = with_key.join(large, "key", "left").withColumn("tree", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("trees")), F.lit(0)))
-
+            tokens = [np.frombuffer(t.as_buffer(), "<u8") for t in batch.column("tokens")]
+            keys = [[int(mix(t ^ seed).min()) - (1 << 63) for seed in seeds] for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(keys, pa.list_(pa.int64())), batch.column("tokens")], ["id", "n", "keys", "tokens"])
+
+    with_keys = sets.select("id", "n", "tokens").mapInArrow(keyed, "id long, n long, keys array<long>, tokens binary")
+    with_key = with_keys.select("id", "n", F.explode("keys").alias("key"), "tokens")
+    # only blocks of several sets travel with their tokens
+    large = with_key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
+    large = large.select("key", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("sets") / F.lit(TREE_SETS), F.col("total") / F.lit(TREE_TOKENS)))).cast("int").alias("trees"))
+    dealt = with_key.join(large, "key").withColumn("tree", F.pmod(F.xxhash64("id", "key"), F.col("trees")))
     return traversed(dealt.withColumn("root", F.col("id")), ["key", "tree"])
 
 
@@ -321,11 +323,13 @@ def least_size(c: np.ndarray) -> np.ndarray:
     return np.floor(CLASS_RATIO ** (c - 1e-6))
 
 
-def crossing(sets: DataFrame) -> DataFrame:
-    """Ids of the sets (id, n, tokens, root) that may have a partner in another component.
+CLASS_COUNTS = {"id": "<i8", "kind": "<i2", "count": "<i4"}
+
 
-    For each class of partners' sizes, the tokens that a set shares with sets of that class in other components are
-    counted; they must be as many as the two sizes need.
+def crossing_counts(sets: DataFrame, by_class: bool) -> DataFrame:
+    """(id, kind, shared) of the sets (id, n, tokens, root): tokens shared with other components.
+
+    by_class tells partners apart by the class of their size (kind); else kind is 0 for all.
     """
     n_buckets = 2 * shuffle_width(sets.sparkSession)
 
@@ -345,29 +349,56 @@ def crossing(sets: DataFrame) -> DataFrame:
         x = {k: v[keep] for k, v in x.items()}
         if not len(x["id"]):
             return
-        kind = size_class(x["n"])
-        order = np.lexsort((kind, x["token"]))
-        x, kind = {k: v[order] for k, v in x.items()}, kind[order]
-        new_token = np.concatenate(([True], x["token"][1:] != x["token"][:-1]))
-        at = np.flatnonzero(new_token | np.concatenate(([True], kind[1:] != kind[:-1])))
-        low, high = np.minimum.reduceat(x["root"], at), np.maximum.reduceat(x["root"], at)
-        # every posting meets every class of its token
-        first = np.flatnonzero(new_token[at])
-        classes = np.diff(np.concatenate((first, [len(at)])))
-        group = np.cumsum(new_token) - 1
-        times = classes[group]
-        one = np.repeat(np.arange(len(group)), times)
-        met = np.repeat(first[group], times) + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
-        other = (low[met] != x["root"][one]) | (high[met] != x["root"][one])
-        one, met = one[other], kind[at][met[other]]
-        pair, count = np.unique(np.stack((x["id"][one], met)), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(count)], ["id", "kind", "shared"])
+        if by_class:
+            ids, kinds = met_classes(x)
+        else:
+            ids, kinds = x["id"], np.zeros(len(x["id"]), np.int64)
+        pair, count = np.unique(np.stack((ids, kinds)), axis=1, return_counts=True)
+        yield from buckets.packed(pair[0] % n_buckets, {"id": pair[0], "kind": pair[1], "count": count}, CLASS_COUNTS)
+
+    def total(bucket, x):
+        order = np.lexsort((x["kind"], x["id"]))
+        ids, kinds = x["id"][order], x["kind"][order]
+        at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1]))))
+        sums = np.add.reduceat(x["count"][order].astype(np.int64), at)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(kinds[at].astype(np.int64)), pa.array(sums)], ["id", "kind", "shared"])
 
     sent = sets.select("id", "n", "tokens", "root").mapInArrow(run, buckets.schema(COMPONENT_TOKENS))
-    counts = buckets.by_bucket(sent, COMPONENT_TOKENS, reduce, "id long, kind long, shared long").groupBy("id", "kind").agg(F.sum("shared").alias("shared"))
+    return buckets.by_bucket(buckets.by_bucket(sent, COMPONENT_TOKENS, reduce, buckets.schema(CLASS_COUNTS)), CLASS_COUNTS, total, "id long, kind long, shared long")
+
+
+def met_classes(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, class) for every posting, sorted by token, and every class of sizes that holds its token in another component."""
+    kind = size_class(x["n"])
+    order = np.lexsort((kind, x["token"]))
+    x, kind = {k: v[order] for k, v in x.items()}, kind[order]
+    new_token = np.concatenate(([True], x["token"][1:] != x["token"][:-1]))
+    at = np.flatnonzero(new_token | np.concatenate(([True], kind[1:] != kind[:-1])))
+    low, high = np.minimum.reduceat(x["root"], at), np.maximum.reduceat(x["root"], at)
+    first = np.flatnonzero(new_token[at])
+    classes = np.diff(np.concatenate((first, [len(at)])))
+    group = np.cumsum(new_token) - 1
+    times = classes[group]
+    one = np.repeat(np.arange(len(group)), times)
+    met = np.repeat(first[group], times) + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+    size, other = x["n"][one], x["n"][at][met]
+    useful = ((low[met] != x["root"][one]) | (high[met] != x["root"][one])) & (other <= size * (WHOLE / PART) * CLASS_RATIO + 1) & (other * CLASS_RATIO + 1 >= size * (PART / WHOLE))
+    return x["id"][one[useful]], kind[at][met[useful]]
+
+
+def crossing(sets: DataFrame) -> DataFrame:
+    """The sets (id, n, tokens, root) that may have a partner in another component.
+
+    First all partners are taken together: a set must share as many tokens as its own size needs. For those left, and among
+    them, partners are told apart by size, and the tokens must be as many as both sizes need.
+    """
+    enough = F.col("shared") * WHOLE >= F.col("n") * PART
+    left = crossing_counts(sets, False).join(sets.select("id", "n"), "id").where(enough).select("id")
+    some = written(sets.join(left, "id", "left_semi"), "crossing")
     partner = F.floor(F.pow(F.lit(CLASS_RATIO), F.col("kind") - 1e-6))
-    enough = (F.col("shared") * (PART + WHOLE) >= (F.col("n") + partner) * PART) & (F.col("shared") * WHOLE >= F.col("n") * PART)
-    return counts.join(sets.select("id", "n"), "id").where(enough).select("id").distinct()
+    both = (F.col("shared") * (PART + WHOLE) >= (F.col("n") + partner) * PART) & enough
+    last = crossing_counts(some, True).join(some.select("id", "n"), "id").where(both).select("id").distinct()
+    return written(some.join(last, "id", "left_semi"), "crossing")
 
 
 def rest_links(sets: DataFrame) -> DataFrame:
@@ -396,7 +427,7 @@ def rest_links(sets: DataFrame) -> DataFrame:
     return traversed(dealt, ["family", "p", "q"])
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: tuple[tuple[int, ...], ...] = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -408,22 +439,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -
     sets = written(full_sets(docs.where("doc_id is not null"), sized_broadcast(chosen.where("doc_id is not null")), words), "tokens")
     links = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "id long, root long")
-    for turn in range(rounds + 1):
-        if sets.isEmpty():
+    rooted = sets.withColumn("root", F.col("id"))
+    for turns in (*rounds, None):
+        if rooted.isEmpty():
             break
-        if turn < rounds:
-            new = block_links(sets, turn)
-        else:
-            new = rest_links(sets.join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
-        new = written(new, "new-links")
+        new = written(block_links(rooted, turns) if turns else rest_links(rooted), "new-links")
         if not new.isEmpty():
-            links = links.union(new)
-            found = written(components(links), "components")
+            found = written(components(links.union(new)), "components")
             links = found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
-        if turn < rounds:
-            rooted = sets.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            left = crossing(rooted)
-            sets = written(sets.join(left, "id", "left_semi"), "tokens")
+        if turns:
+            rooted = crossing(rooted.drop("root").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
     labelled = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
