@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import written
+from weft.llm.common import sized_broadcast, written
 
 EDITS = 1
 MIN_CHARS = 20
@@ -88,14 +88,28 @@ def halves(a: Column, b: Column) -> Column:
     return F.array(F.struct(a.alias("a"), middle.alias("b")), F.struct(middle.alias("a"), b.alias("b")))
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """(x1, x2, y1, y2): pairs of entries that share a bucket at last; x is not the longer."""
+def all_rows(lines: DataFrame) -> DataFrame:
+    """Both halves of every line, under its own length and under the one below."""
     length = F.length("line")
-    roles = distinct.select("h1", "h2", "line", F.explode(F.array(F.struct(F.lit(0).alias("extra"), length.alias("size")), F.struct(F.lit(1).alias("extra"), (length - 1).alias("size")))).alias("r")).select("h1", "h2", "line", "r.*")
-    rows = segment_rows(roles.select("*", F.explode(halves(F.lit(0), F.col("size"))).alias("i")).select("h1", "h2", "line", "extra", "size", "i.a", "i.b"))
+    roles = F.array(F.struct(F.lit(0).alias("extra"), length.alias("size")), F.struct(F.lit(1).alias("extra"), (length - 1).alias("size")))
+    each = lines.select("h1", "h2", "line", F.explode(roles).alias("r")).select("h1", "h2", "line", "r.*")
+    return segment_rows(each.select("*", F.explode(halves(F.lit(0), F.col("size"))).alias("i")).select("h1", "h2", "line", "extra", "size", "i.a", "i.b"))
+
+
+def near_pairs(lines: DataFrame) -> DataFrame:
+    """(x1, x2, y1, y2) of the different lines (h1, h2, line; repeats are allowed) within EDITS edits; x is not the longer.
+
+    Which buckets hold different lines is known from hashes alone; only those lines' texts are read again, and no text is
+    shuffled while they are few enough to be broadcast.
+    """
+    rows = all_rows(lines)
+    live = rows.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("extra").alias("least"))
+    live = written(live.where("low != high and least = 0").select("bucket"), "buckets")
+    rows = written(rows.join(sized_broadcast(live), "bucket", "left_semi").distinct(), "segments")
+    needed = written(rows.select("h1", "h2").distinct(), "needed")
+    texts = written(lines.join(sized_broadcast(needed), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
     pairs = None
     while True:
-        # counts are summed before their shuffle; a join on a hot bucket is one that Spark can split
         counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("extra").alias("least")).where("n > 1 and least = 0").drop("least")
         several = written(rows.join(counts, "bucket"), "segments")
         ready = several.where((F.col("n") <= BUCKET) | (F.col("b") - F.col("a") <= 1))
@@ -106,16 +120,9 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
         pairs = found if pairs is None else pairs.union(found)
         hot = several.where((F.col("n") > BUCKET) & (F.col("b") - F.col("a") > 1)).select("h1", "h2", "extra", "size", F.explode(halves(F.col("a"), F.col("b"))).alias("i"))
         if hot.isEmpty():
-            return pairs.distinct()
-        rows = segment_rows(hot.select("h1", "h2", "extra", "size", "i.a", "i.b").join(distinct, ["h1", "h2"]))
-
-
-def near_pairs(distinct: DataFrame) -> DataFrame:
-    """The candidate pairs within EDITS edits."""
-    pairs = written(candidate_pairs(distinct), "pairs")
-    x, y = (distinct.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
-    needed = pairs.select(F.col("x1").alias("h1"), F.col("x2").alias("h2")).union(pairs.select("y1", "y2")).distinct()
-    texts = written(distinct.join(needed, ["h1", "h2"], "left_semi"), "texts")
+            break
+        rows = segment_rows(hot.select("h1", "h2", "extra", "size", "i.a", "i.b").join(texts, ["h1", "h2"]))
+    pairs = written(pairs.distinct(), "pairs")
     x, y = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
     both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
     return both.where(banded_distance(F.col("y_line"), F.col("x_line")) <= EDITS).select("x1", "x2", "y1", "y2")
@@ -127,15 +134,16 @@ def dropped(docs: DataFrame) -> DataFrame:
     places = written(lines.select("key", "doc", "at", "h1", "h2"), "lines")
     place = F.struct("doc", "key", "at")
     firsts = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
-    distinct = written(hashed(lines.select("line").distinct()), "distinct-lines")
-    near = near_pairs(distinct)
+    near = near_pairs(lines.select("h1", "h2", "line"))
     x, y = (firsts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"{s}_first")) for s in "xy")
     ordered = near.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
     x_later = F.col("x_first") > F.col("y_first")
     later = ordered.select(F.when(x_later, F.col("x1")).otherwise(F.col("y1")).alias("h1"), F.when(x_later, F.col("x2")).otherwise(F.col("y2")).alias("h2"), F.lit(True).alias("near")).distinct()
     judged = firsts.join(later, ["h1", "h2"], "left").where("n > 1 or near")
     out = places.join(judged, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
-    return out.groupBy("key").agg(F.collect_set("at").alias("drop"), F.count_if(place != F.col("first")).alias("n_equal"), F.count_if(place == F.col("first")).alias("n_near"))
+    out = written(out.groupBy("key").agg(F.collect_set("at").alias("drop"), F.count_if(place != F.col("first")).alias("n_equal"), F.count_if(place == F.col("first")).alias("n_near")), "dropped")
+    held = out.agg(F.count("*") + F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]  # rows and what their lists hold
+    return sized_broadcast(out, held)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -151,7 +159,7 @@ def kept_text(text: Column, drop: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: lines, lines removed as equal and as near, characters kept, SHA-256 of the kept text."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    found = docs.join(written(dropped(docs), "dropped"), "key", "left")
+    found = docs.join(dropped(docs), "key", "left")
     kept = kept_text(F.col("text"), F.col("drop"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return found.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), zero("n_equal"), zero("n_near"), kept.alias("kept")).select(
@@ -163,6 +171,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their kept lines, all other columns as they were; those of which nothing is left go."""
     columns = docs.columns
     docs = keyed(docs.withColumn("text", F.col("text").cast("string")))
-    found = docs.join(written(dropped(docs.select("key", "doc_id", "text")), "dropped"), "key", "left")
+    found = docs.join(dropped(docs.select("key", "doc_id", "text")), "key", "left")
     kept = kept_text(F.col("text"), F.col("drop"))
     return found.withColumn("kept", kept).where(F.col("drop").isNull() | F.col("kept").rlike(r"\S")).withColumn("text", F.col("kept")).select(*columns)
