@@ -34,6 +34,8 @@ ANNOTATION = re.compile(r"@([A-Za-z_]\w*)")
 STRING = re.compile(r'"([^"]*)"')
 NAMED_PATH = re.compile(r'(?:value|path)\s*=\s*\{?\s*"([^"]*)"')
 MEMBER_FIELD = re.compile(r"((?:@\w+\s*(?:\([^)]*\))?\s*)*)((?:(?:private|protected|public|static|final|transient|volatile)\s+)*)([A-Za-z_][\w.]*(?:\s*<[^;={}]*>)?(?:\[\])*)\s+([A-Za-z_]\w*)\s*(=[^;]*)?;")
+#: Annotations and modifiers right before a name: what is left before them tells a method from a constructor.
+LEADING = re.compile(r"(?:\s*(?:@\w+(?:\s*\([^()]*\))?|\b(?:public|protected|private|static|final|abstract)\b))+\s*$")
 KEYWORDS = frozenset("if for while switch catch synchronized return new throw else do try assert super this case instanceof".split())
 WRAPPER_TEXT = re.compile(rf'\.(?:{WRAPPER_VERBS})\s*\(\s*"([A-Za-z_]\w*)"')
 WRAPPER_GETTER = re.compile(rf"\.(?:{WRAPPER_VERBS})\s*\(\s*[A-Za-z_]\w*::([A-Za-z_]\w*)")
@@ -163,14 +165,14 @@ class Source:
             body = self.direct(t)
             for m in CALL_LIKE.finditer(body):
                 name, at = m[1], t.start + m.start(1)
-                before = body[: m.start(1)].rstrip()
+                before = LEADING.sub("", body[max(0, m.start(1) - 2000) : m.start(1)].rstrip())
                 word = re.search(r"[\w$]+$", before)
                 if name in KEYWORDS or before.endswith((".", "@", "=", "(", ",")) or (word and word[0] in ("new", "return")):
                     continue
                 end = closing(self.bare, t.start + m.end() - 1)
                 after = re.match(r"\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s]+?)?\s*(default\b[^;]*)?([{;])", self.bare[end : end + 2000])
-                constructor = name == t.name and not re.search(r"[\w>\]]$", re.sub(r"\b(?:public|protected|private)$", "", before).rstrip().removesuffix(";"))
-                typed = re.search(r"[\w>\]]$", before) and not re.search(r"\b(?:public|protected|private|static|final|abstract)$", before)
+                typed = re.search(r"[\w>\]]$", before)
+                constructor = name == t.name and not typed
                 if not after or not (typed or constructor):
                     continue
                 parameters = self.bare[t.start + m.end() : end - 1]
@@ -307,7 +309,7 @@ def extract(path: str, text: str, file_hash: str, config: dict | None = None) ->
     for m in methods:
         for call in rows.meta(m.id).get("invokes", ()):
             target = by_name.get(call["name"], ())
-            if len(by_name[m.name]) == 1 and len(target) == 1 and target[0] is not m and call["receiver_kind"] in ("bare", "this"):
+            if len(by_name[m.name]) == 1 and len(target) == 1 and target[0] is not m:
                 rows.edge(m.id, target[0].id, "calls", m.at, INFERRED, 0.7, "same-file call", line=call["line"])
 
     # web endpoints

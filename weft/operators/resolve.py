@@ -71,8 +71,9 @@ def binds_statement(methods: DataFrame, statements: DataFrame) -> DataFrame:
 
 def method_targets(types: DataFrame, methods: DataFrame) -> DataFrame:
     """(type_name, method_name, target): the method that a name stands for in an unambiguous type; of overloads the last."""
-    last = methods.groupBy("owner_id", "name").agg(F.max_by("id", F.struct("seq", "id")).alias("target"))
-    return unique_types(types).join(last, F.col("id") == F.col("owner_id")).select(unique_types(types)["name"].alias("type_name"), last["name"].alias("method_name"), "target")
+    last = methods.groupBy("owner_id", F.col("name").alias("method_name")).agg(F.max_by("id", F.struct("seq", "id")).alias("target"))
+    once = unique_types(types).select(F.col("name").alias("type_name"), F.col("id").alias("owner_id"))
+    return once.join(last, "owner_id").select("type_name", "method_name", "target")
 
 
 def calls(types: DataFrame, methods: DataFrame, injected: DataFrame, invokes: DataFrame, beans: DataFrame | None = None) -> DataFrame:
@@ -81,20 +82,17 @@ def calls(types: DataFrame, methods: DataFrame, injected: DataFrame, invokes: Da
     invokes (caller_id, pos, callee_name, receiver_kind, receiver), injected (owner_id, field_name, type_name); beans
     (owner_id, type_name) are the injected types, by default those of the fields. Of several ways the first counts.
     """
-    names = owners(types)
-    once = unique_types(types)
     targets = method_targets(types, methods)
-    caller = invokes.join(methods.select(F.col("id").alias("caller_id"), "owner_id"), "caller_id")
-    known = types.join(names.where("owners = 1").select("name"), "name", "left_semi").select(F.col("id").alias("owner_id"))
-    field = injected.groupBy("owner_id", "field_name").agg(F.max("type_name").alias("type_name"))
-    sure = caller.join(known, "owner_id", "left_semi")
-    by_field = sure.where(F.col("receiver_kind").isin("field", "name")).join(field, (sure.owner_id == field.owner_id) & (F.col("receiver") == F.col("field_name"))).select("caller_id", "pos", "callee_name", "type_name")
-    by_field = by_field.join(targets, (by_field.type_name == targets.type_name) & (F.col("callee_name") == F.col("method_name"))).select("caller_id", "pos", "target", F.lit(0).alias("way"), F.lit(CALL).alias("confidence"))
-    by_type = invokes.where("receiver_kind = 'name'").join(targets, (F.col("receiver") == F.col("type_name")) & (F.col("callee_name") == F.col("method_name"))).select("caller_id", "pos", "target", F.lit(1).alias("way"), F.lit(CALL).alias("confidence"))
-    beans = injected.select("owner_id", "type_name").distinct() if beans is None else beans.select("owner_id", "type_name").distinct()
-    any_bean = sure.join(beans, "owner_id").select("caller_id", "pos", "callee_name", "type_name")
-    any_bean = any_bean.join(targets, (any_bean.type_name == targets.type_name) & (F.col("callee_name") == F.col("method_name")))
-    any_bean = any_bean.groupBy("caller_id", "pos").agg(F.count("*").alias("hits"), F.min("target").alias("target")).where("hits = 1").select("caller_id", "pos", "target", F.lit(2).alias("way"), F.lit(INJECTED).alias("confidence"))
+    hit = lambda df, way, confidence: df.select("caller_id", "pos", "target", F.lit(way).alias("way"), F.lit(confidence).alias("confidence"))
+    known = types.select(F.col("id").alias("owner_id"), "name").join(owners(types).where("owners = 1").select("name"), "name", "left_semi").select("owner_id")
+    sure = invokes.join(methods.select(F.col("id").alias("caller_id"), "owner_id"), "caller_id").join(known, "owner_id", "left_semi").withColumnRenamed("callee_name", "method_name")
+    field = injected.groupBy("owner_id", F.col("field_name").alias("receiver")).agg(F.max("type_name").alias("type_name"))
+    by_field = hit(sure.where(F.col("receiver_kind").isin("field", "name")).join(field, ["owner_id", "receiver"]).join(targets, ["type_name", "method_name"]), 0, CALL)
+    named = invokes.where("receiver_kind = 'name'").select("caller_id", "pos", F.col("receiver").alias("type_name"), F.col("callee_name").alias("method_name"))
+    by_type = hit(named.join(targets, ["type_name", "method_name"]), 1, CALL)
+    beans = (injected if beans is None else beans).select("owner_id", "type_name").distinct()
+    any_bean = sure.join(beans, "owner_id").join(targets, ["type_name", "method_name"]).groupBy("caller_id", "pos").agg(F.count("*").alias("hits"), F.min("target").alias("target"))
+    any_bean = hit(any_bean.where("hits = 1"), 2, INJECTED)
     every = by_field.union(by_type).union(any_bean).where("target != caller_id")
     best = every.groupBy("caller_id", "pos").agg(F.min(F.struct("way", "target", "confidence")).alias("best"))
     by_edge = best.groupBy("caller_id", F.col("best.target").alias("target")).agg(F.max_by("best.confidence", "pos").alias("confidence"))

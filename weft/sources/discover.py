@@ -1,7 +1,8 @@
 """Source files of a tree as a table.
 
-The files are listed and read by Spark's binary source, so the tree may be in any store that Spark reads. Folders, patterns,
-sizes and kinds are column filters on the paths. Ignore files are read first, they are few, and become one pattern each.
+The files are listed and read by Spark's binary source, so the tree may be in any store that Spark reads; files whose names
+begin with a dot or an underscore are not listed by it. Folders, patterns, sizes and kinds are column filters on the paths.
+Ignore files are read first, they are few, and each of their lines becomes a pattern.
 """
 
 from __future__ import annotations
@@ -63,14 +64,32 @@ def kept(rel: Column, config: Config) -> Column:
     return fine
 
 
+def ignore_files(spark: SparkSession, root: str, config: Config) -> list[tuple[str, str]]:
+    """(folder, text) of the ignore files, outer folders first. Spark's sources do not list hidden files, so the folders are walked."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, waiting = [], [(path(root), "")]
+    while waiting:
+        here, rel = waiting.pop(0)
+        for child in fs.listStatus(here):
+            name = child.getPath().getName()
+            if child.isDirectory():
+                if name not in config.excluded_dirs:
+                    waiting.append((child.getPath(), f"{rel}/{name}".lstrip("/")))
+            elif name in config.ignored:
+                stream = fs.open(child.getPath())
+                found.append((rel, bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
+                stream.close()
+    return found
+
+
 def discover(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
     """(path, kind, hash, content) of the tree's files that are to be indexed."""
     config = config or Config()
     files = listed(spark, root)
     rules = []
-    for r in files.where(F.substring_index("rel", "/", -1).isin(*config.ignored)).select("rel", F.decode("content", "utf-8").alias("text")).orderBy(F.length("rel"), "rel").collect():
-        folder = r.rel.rpartition("/")[0]
-        rules += [x for line in r.text.splitlines() if (x := ignore_rule(line, folder))]
+    for folder, text in ignore_files(spark, root, config):
+        rules += [x for line in text.splitlines() if (x := ignore_rule(line, folder))]
     ignored = F.lit(False)
     for on, pattern in rules:  # a later rule overrides an earlier one
         ignored = F.when(F.col("rel").rlike(pattern), on).otherwise(ignored)
