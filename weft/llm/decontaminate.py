@@ -129,5 +129,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns as they were."""
-    found = hits(keyed(docs).select("key", "text"), benchmark).select("key")
-    return keyed(docs).join(found, "key", "left_anti").select(*docs.columns)
+    held = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
+    return held.join(hits(held.select("key", "text"), benchmark).select("key"), "key", "left_anti").select("row.*")

@@ -169,8 +169,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their kept lines, all other columns as they were; those of which nothing is left go."""
-    columns = docs.columns
-    docs = keyed(docs.withColumn("text", F.col("text").cast("string")))
-    found = docs.join(dropped(docs.select("key", "doc_id", "text")), "key", "left")
-    kept = kept_text(F.col("text"), F.col("drop"))
-    return found.withColumn("kept", kept).where(F.col("drop").isNull() | F.col("kept").rlike(r"\S")).withColumn("text", F.col("kept")).select(*columns)
+    held = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
+    found = held.join(dropped(held.select("key", "doc_id", "text")), "key", "left").withColumn("kept", kept_text(F.col("text"), F.col("drop")))
+    found = found.where(F.col("drop").isNull() | F.col("kept").rlike(r"\S"))
+    return found.select(F.col("row").withField("text", F.col("kept")).alias("row")).select("row.*")

@@ -71,7 +71,7 @@ def mod97(x: Column) -> Column:
     plain = F.replace(x, F.lit(" "), F.lit(""))
     turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
     value = lambda c: F.when(c >= "A", F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
-    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda a, c: (a * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: (a * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97)
     return rest == 1
 
 

@@ -150,25 +150,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, score) and all other columns of docs: the likelihood of label 1."""
+    """(row, score): each row of docs as it was, and the likelihood of label 1."""
     model = fit(docs, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
-        for step in steps(batches, "_text"):
-            score = model(counts(*text_buffer(step.column("_text")))) if model else np.full(step.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*step.columns[:-1], pa.array(score)], [*step.schema.names[:-1], "score"])
+        for step in steps(batches):
+            score = model(counts(*text_buffer(step.column("text")))) if model else np.full(step.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([step.column("row"), pa.array(score)], ["row", "score"])
 
-    schema = docs.schema.add("score", "double")
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return held.mapInArrow(run, held.select("row").schema.add("score", "double"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least so much."""
-    return scores(docs, labels).where(F.col("score") >= least).drop("score")
+    return scores(docs, labels).where(F.col("score") >= least).select("row.*")

@@ -100,6 +100,12 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _later(x: dict[str, np.ndarray], new: np.ndarray) -> np.ndarray:
+    """Of sorted rows in groups that begin where new is set: those of another place than their group's first."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (x["doc"] != x["doc"][first]) | (x["tag"] != x["tag"][first]) | (x["start"] != x["start"][first])
+
+
 def _phrases(docs: DataFrame, n_buckets: int, many: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -119,7 +125,7 @@ def _phrases(docs: DataFrame, n_buckets: int, many: int) -> DataFrame:
             new_key, new = _new(x["key"]), _new(x["key"], x["block"])
             group = np.cumsum(new_key) - 1
             hot = (np.bincount(group, weights=new) > many)[group] if len(group) else new
-            kind = np.where(~new, REPEAT, np.where(hot, SPREAD, 0))
+            kind = np.where(_later(x, new), REPEAT, np.where(hot, SPREAD, 0))
             x["kind"] = kind
             mark = {k: v[hot & new_key] for k, v in x.items()}
             mark["kind"] = np.full(len(mark["key"]), MARK)
@@ -152,7 +158,7 @@ def _decide(bucket: int, x: dict[str, np.ndarray]):
         return
     new = _new(x["key"], x["block"])
     several = (np.bincount(group, weights=new) > 1)[group]
-    kind = np.where(~new, REPEAT, np.where(marked, SPREAD, np.where(several, LOOK, 0)))
+    kind = np.where(_later(x, new), REPEAT, np.where(marked, SPREAD, np.where(several, LOOK, 0)))
     keep = kind > 0
     yield _places(x["doc"][keep], x["tag"][keep], x["start"][keep], x["size"][keep], kind[keep])
 
@@ -221,7 +227,7 @@ def _strings(n_buckets: int):
             at = begin[one] + within
             x = {"first": Prefixes(x["text"]).of(at, at + SPAN), "second": Prefixes(x["text"], second=True).of(at, at + SPAN), "doc": x["doc"][one], "tag": x["tag"][one], "start": x["start"][one] + within}
         x = _ordered(x, "first", "second", "doc", "tag", "start")
-        again = ~_new(x["first"], x["second"])
+        again = _later(x, _new(x["first"], x["second"]))
         x = _ordered({k: x[k][again] for k in ("doc", "tag", "start")}, "doc", "tag", "start")
         if not len(x["doc"]):
             return
