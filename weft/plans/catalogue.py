@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import schema
 from weft.functions import exprs
-from weft.operators import extract, impact, resolve, search, sql_text, store, traverse
+from weft.operators import extract, files, impact, resolve, search, sql_text, store, traverse
 from weft.plans.views import load, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,6 +348,44 @@ query("extract_vue_pages", ("syn_page_source",), "SELECT path, replace(path, '.v
 query("extract_gradle", ("syn_build_source",), "SELECT path, split_part(path, '/', 1) AS module, regexp_extract(content, '\"([^\":]+:[^\":]+):', 1) AS coordinate FROM syn_build_source UNION SELECT path, split_part(path, '/', 1), regexp_extract(content, 'api\\((libs[^)]+)\\)', 1) FROM syn_build_source")(extract.gradle_dependencies)
 query("extract_pkg_deps", ("syn_package_source",), "SELECT path, json_extract_string(content, '$.name') AS module, unnest(list_concat(json_keys(content, '$.dependencies'), json_keys(content, '$.devDependencies'))) AS dependency FROM syn_package_source")(extract.package_dependencies)
 
+
+def extracted(sources: DataFrame, kind: str) -> DataFrame:
+    return files.extract(sources.select("path", F.lit(kind).alias("kind"), F.sha2("content", 256).alias("hash"), "content"))
+
+
+def named_edges(found: DataFrame) -> DataFrame:
+    names = files.entities_of(found).select("id", F.concat_ws(":", "kind", "name").alias("label")).distinct()
+    ends = files.edges_of(found).where("kind != 'contains'").select("file", "source", "target", "kind").distinct()
+    ends = ends.join(names.select(F.col("id").alias("source"), F.col("label").alias("from_name")), "source").join(names.select(F.col("id").alias("target"), F.col("label").alias("to_name")), "target")
+    return ends.select(F.col("file").alias("path"), "from_name", "kind", "to_name").distinct()
+
+
+_java_entities = [
+    ("file", "'C' || k || '.java'"), ("class", "'C' || k"), ("field", "'svc'"), ("field", "'fieldA'"), ("method", "'get' || k"), ("method", "'job'"), ("method", "'help'"), ("method", "'checks'"), ("spring_bean", "'S' || k"),
+    ("http_endpoint", "'GET /p/{}/{}'"), ("table", "'t_' || k"), ("column", "'svc'"), ("column", "'named_' || k"), ("annotation", "'Transactional'"), ("job", "'job'"), ("test_case", "'checks'"),
+]
+_java_edges = [
+    ("'class:C' || k", "injects", "'spring_bean:S' || k"), ("'class:C' || k", "declares", "'method:get' || k"), ("'class:C' || k", "declares", "'method:job'"), ("'class:C' || k", "declares", "'method:help'"),
+    ("'class:C' || k", "declares", "'method:checks'"), ("'method:get' || k", "exposes", "'http_endpoint:GET /p/{}/{}'"), ("'method:job'", "calls", "'method:help'"), ("'class:C' || k", "depends_on", "'table:t_' || k"),
+    ("'field:svc'", "mapped_from", "'column:svc'"), ("'field:fieldA'", "mapped_from", "'column:named_' || k"), ("'class:C' || k", "annotated", "'annotation:Transactional'"), ("'job:job'", "schedules", "'method:job'"),
+]
+query("extract_java_entities", ("syn_java_source",), " UNION ALL ".join(f"SELECT path, '{kind}' AS kind, {name} AS name FROM syn_java_source" for kind, name in _java_entities))(
+    lambda s: files.entities_of(extracted(s, "java")).select(F.col("file").alias("path"), "kind", "name")
+)
+query("extract_java_edges", ("syn_java_source",), " UNION ALL ".join(f"SELECT path, {a} AS from_name, '{kind}' AS kind, {b} AS to_name FROM syn_java_source" for a, kind, b in _java_edges))(lambda s: named_edges(extracted(s, "java")))
+query("extract_java_heritage", ("syn_java_source",), "SELECT path, 'B' || n AS superclass, '[\"I' || n || '\"]' AS implements, 'true' AS transactional FROM syn_java_source")(
+    lambda s: files.entities_of(extracted(s, "java")).where("kind = 'class'").select(F.col("file").alias("path"), *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("superclass", "implements", "transactional")])
+)
+query("extract_java_methods", ("syn_java_source",), "SELECT path, unnest(['get' || k, 'job', 'help', 'checks']) AS name, CAST(unnest([0, 0, 0, 2]) AS BIGINT) AS arity, CAST(unnest([4, 5, 6, 7]) AS BIGINT) AS line FROM syn_java_source")(
+    lambda s: files.entities_of(extracted(s, "java")).where("kind = 'method'").select(F.col("file").alias("path"), "name", F.get_json_object("metadata", "$.arity").cast("long").alias("arity"), F.col("evidence")[0]["start_line"].cast("long").alias("line"))
+)
+query("extract_java_invocations", ("syn_java_source",), "SELECT path, 'get' || k AS name, 'load' AS callee, 'name' AS receiver_kind, 'svc' AS receiver FROM syn_java_source UNION ALL SELECT path, 'job', 'help', 'bare', NULL FROM syn_java_source")(
+    lambda s: files.entities_of(extracted(s, "java")).where("kind = 'method'").select(F.col("file").alias("path"), "name", F.explode(F.from_json(F.get_json_object("metadata", "$.invokes"), "array<struct<name:string,receiver_kind:string,receiver:string>>")).alias("i")).select("path", "name", F.col("i.name").alias("callee"), "i.receiver_kind", "i.receiver")
+)
+query("extract_xml_statements", ("syn_sql", "syn_xml_source"), "SELECT path, statement_id AS name, operation, 'com.acme.M' || statement_id AS namespace, sql_text AS sql FROM syn_xml_source")(
+    lambda _, x: files.entities_of(extracted(x, "xml")).where("kind = 'xml_statement'").select(F.col("file").alias("path"), "name", *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("operation", "namespace", "sql")])
+)
+
 # similarity
 _query_vector = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 

@@ -65,15 +65,28 @@ FROM supplier""",
     "syn_package_source": """
 SELECT concat('web', s_suppkey, '/package.json') AS path, concat('{"name":"web', s_suppkey, '","dependencies":{"vue":"^3","lib-', s_nationkey, '":"1"},"devDependencies":{"tool-', s_suppkey % 3, '":"2"}}') AS content
 FROM supplier""",
+    "syn_java_source": """
+SELECT concat('src/C', s_suppkey, '.java') AS path, s_suppkey AS k, s_nationkey AS n, concat('@TableName("t_', s_suppkey, '") @Transactional class C', s_suppkey, ' extends B', s_nationkey, ' implements I', s_nationkey, '<X, Y> {', chr(10),
+ ' @Autowired private S', s_suppkey, ' svc; // class Hidden {}', chr(10), ' @TableField("named_', s_suppkey, '") private Long fieldA;', chr(10), ' @GetMapping("/p/', s_suppkey, '/{id}") Object get', s_suppkey, '() { return svc.load(); }', chr(10),
+ ' @Scheduled(cron="x") void job() { help(); }', chr(10), ' void help() {}', chr(10), ' @Test void checks(int a, int b) {}', chr(10), '}') AS content
+FROM supplier""",
+    "syn_xml_source": """
+SELECT concat('res/M', statement_id, '.xml') AS path, statement_id, operation, sql_text, concat('<mapper namespace="com.acme.M', statement_id, '"><', operation, ' id="', statement_id, '">', sql_text, '</', operation, '></mapper>') AS content FROM syn_sql""",
 }
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named tables and projections over one data folder."""
+    names = (*(("syn_sql",) if "syn_xml_source" in names and "syn_sql" not in names else ()), *names)
     for t in TABLES:
         if any(t in SQL.get(n, n) for n in names):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return [spark.sql(SQL[n]) if n in SQL else spark.table(n) for n in names]
+    out = []
+    for n in names:
+        out.append(spark.sql(SQL[n]) if n in SQL else spark.table(n))
+        if n == "syn_sql":
+            out[-1].createOrReplaceTempView(n)
+    return out
 
 
 def with_views(names: tuple[str, ...], body: str, recursive: str = "") -> str:
