@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -36,15 +37,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+def drop_written(*tables: DataFrame, collect: bool = True) -> None:
+    """Remove tables made by written() that no plan reads any more, and let Spark clear the shuffles behind them.
+
+    Spark clears the files of a shuffle when the driver's objects for it are collected, so a collection is asked for.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._weft_path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if tables and collect:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+class Scratch:
+    """Tables of one operator that are removed when its result no longer needs them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def clear(self, *but: DataFrame) -> None:
+        kept = {t._weft_path for t in but}
+        drop_written(*[t for t in self.tables if t._weft_path not in kept])
+        self.tables = [t for t in self.tables if t._weft_path in kept]
 
 
 def shuffle_width(spark: SparkSession) -> int:

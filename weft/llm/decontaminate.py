@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import sized_broadcast, written
+from weft.llm.common import Scratch, sized_broadcast
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
@@ -82,9 +82,10 @@ def windows(df: DataFrame, key: str, size: Column) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, n_hit, items) of the documents (key, text) with a hit."""
-    items = written(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
+    scratch = Scratch()
+    items = scratch(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
     size = F.least(F.size("words"), F.lit(SPAN))
-    item_windows = written(windows(items.withColumn("size", size), "item_id", F.col("size")).select("item_id", "window").join(items.select("item_id", size.alias("size")).distinct(), "item_id").distinct(), "item-windows")
+    item_windows = scratch(windows(items.withColumn("size", size), "item_id", F.col("size")).select("item_id", "window").join(items.select("item_id", size.alias("size")).distinct(), "item_id").distinct(), "item-windows")
     n_windows = item_windows.count()
     small = (lambda df: F.broadcast(df)) if n_windows <= BROADCAST_WINDOWS else (lambda df: df)
     worded = docs.select("key", words(F.col("text")).alias("words"))
@@ -98,17 +99,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     candidates = found[0].select("key")
     for more in found[1:]:
         candidates = candidates.union(more.select("key"))
-    candidates = written(candidates.distinct(), "candidates")
+    candidates = scratch(candidates.distinct(), "candidates")
     chosen = docs.join(sized_broadcast(candidates), "key", "left_semi").select("key", words(F.col("text")).alias("words"))
     near = [windows(chosen, "key", F.lit(k)).withColumn("size", F.lit(k)) for k in [*short, SPAN]]
     rows = near[0]
     for more in near[1:]:
         rows = rows.union(more)
     matched = rows.join(small(item_windows), ["window", "size"]).select("key", "at", "size", "item_id")
-    matched = written(matched, "hits")
+    matched = scratch(matched, "hits")
     covered = matched.select("key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     listed = matched.groupBy("key").agg(F.collect_set("item_id").alias("items"))
-    return covered.join(listed, "key")
+    out = scratch(covered.join(listed, "key"), "found")
+    scratch.clear(out)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:

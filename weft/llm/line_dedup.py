@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import sized_broadcast, written
+from weft.llm.common import Scratch, sized_broadcast
 
 EDITS = 1
 MIN_CHARS = 20
@@ -96,7 +96,7 @@ def all_rows(lines: DataFrame) -> DataFrame:
     return segment_rows(each.select("*", F.explode(halves(F.lit(0), F.col("size"))).alias("i")).select("h1", "h2", "line", "extra", "size", "i.a", "i.b"))
 
 
-def near_pairs(lines: DataFrame) -> DataFrame:
+def near_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(x1, x2, y1, y2) of the different lines (h1, h2, line; repeats are allowed) within EDITS edits; x is not the longer.
 
     Which buckets hold different lines is known from hashes alone; only those lines' texts are read again, and no text is
@@ -104,14 +104,14 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     """
     rows = all_rows(lines)
     live = rows.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("extra").alias("least"))
-    live = written(live.where("low != high and least = 0").select("bucket"), "buckets")
-    rows = written(rows.join(sized_broadcast(live), "bucket", "left_semi").distinct(), "segments")
-    needed = written(rows.select("h1", "h2").distinct(), "needed")
-    texts = written(lines.join(sized_broadcast(needed), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
+    live = scratch(live.where("low != high and least = 0").select("bucket"), "buckets")
+    rows = scratch(rows.join(sized_broadcast(live), "bucket", "left_semi").distinct(), "segments")
+    needed = scratch(rows.select("h1", "h2").distinct(), "needed")
+    texts = scratch(lines.join(sized_broadcast(needed), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "texts")
     pairs = None
     while True:
         counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("extra").alias("least")).where("n > 1 and least = 0").drop("least")
-        several = written(rows.join(counts, "bucket"), "segments")
+        several = scratch(rows.join(counts, "bucket"), "segments")
         ready = several.where((F.col("n") <= BUCKET) | (F.col("b") - F.col("a") <= 1))
         left = ready.where("extra = 0").select("bucket", F.col("h1").alias("x1"), F.col("h2").alias("x2"))
         right = ready.select("bucket", "extra", F.col("h1").alias("y1"), F.col("h2").alias("y2"))
@@ -122,7 +122,7 @@ def near_pairs(lines: DataFrame) -> DataFrame:
         if hot.isEmpty():
             break
         rows = segment_rows(hot.select("h1", "h2", "extra", "size", "i.a", "i.b").join(texts, ["h1", "h2"]))
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = scratch(pairs.distinct(), "pairs")
     x, y = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
     both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
     return both.where(banded_distance(F.col("y_line"), F.col("x_line")) <= EDITS).select("x1", "x2", "y1", "y2")
@@ -130,18 +130,20 @@ def near_pairs(lines: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame) -> DataFrame:
     """(key, drop, n_equal, n_near): indexes of the lines to remove from the documents (key, doc_id, text)."""
+    scratch = Scratch()
     lines = hashed(lines_of(docs))
-    places = written(lines.select("key", "doc", "at", "h1", "h2"), "lines")
+    places = scratch(lines.select("key", "doc", "at", "h1", "h2"), "lines")
     place = F.struct("doc", "key", "at")
-    firsts = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
-    near = near_pairs(lines.select("h1", "h2", "line"))
+    firsts = scratch(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
+    near = near_pairs(lines.select("h1", "h2", "line"), scratch)
     x, y = (firsts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"{s}_first")) for s in "xy")
     ordered = near.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
     x_later = F.col("x_first") > F.col("y_first")
     later = ordered.select(F.when(x_later, F.col("x1")).otherwise(F.col("y1")).alias("h1"), F.when(x_later, F.col("x2")).otherwise(F.col("y2")).alias("h2"), F.lit(True).alias("near")).distinct()
     judged = firsts.join(later, ["h1", "h2"], "left").where("n > 1 or near")
     out = places.join(judged, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
-    out = written(out.groupBy("key").agg(F.collect_set("at").alias("drop"), F.count_if(place != F.col("first")).alias("n_equal"), F.count_if(place == F.col("first")).alias("n_near")), "dropped")
+    out = scratch(out.groupBy("key").agg(F.collect_set("at").alias("drop"), F.count_if(place != F.col("first")).alias("n_equal"), F.count_if(place == F.col("first")).alias("n_near")), "dropped")
+    scratch.clear(out)
     held = out.agg(F.count("*") + F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]  # rows and what their lists hold
     return sized_broadcast(out, held)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
-from weft.llm.common import mix, shuffle_width, sized_broadcast, steps, text_buffer, word_hashes, written
+from weft.llm.common import Scratch, drop_written, mix, shuffle_width, sized_broadcast, steps, text_buffer, word_hashes, written
 from weft.llm.components import components
 
 WORDS = 5
@@ -386,7 +386,7 @@ def met_classes(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x["id"][one[useful]], kind[at][met[useful]]
 
 
-def crossing(sets: DataFrame) -> DataFrame:
+def crossing(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The sets (id, n, tokens, root) that may have a partner in another component.
 
     First all partners are taken together: a set must share as many tokens as its own size needs. For those left, and among
@@ -394,14 +394,14 @@ def crossing(sets: DataFrame) -> DataFrame:
     """
     enough = F.col("shared") * WHOLE >= F.col("n") * PART
     left = crossing_counts(sets, False).join(sets.select("id", "n"), "id").where(enough).select("id")
-    some = written(sets.join(left, "id", "left_semi"), "crossing")
+    some = scratch(sets.join(left, "id", "left_semi"), "crossing")
     partner = F.floor(F.pow(F.lit(CLASS_RATIO), F.col("kind") - 1e-6))
     both = (F.col("shared") * (PART + WHOLE) >= (F.col("n") + partner) * PART) & enough
     last = crossing_counts(some, True).join(some.select("id", "n"), "id").where(both).select("id").distinct()
-    return written(some.join(last, "id", "left_semi"), "crossing")
+    return scratch(some.join(last, "id", "left_semi"), "crossing")
 
 
-def rest_links(sets: DataFrame) -> DataFrame:
+def rest_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between components among the sets (id, n, tokens, root) that are left, none of them lost.
 
     Sets that hang together by tokens of several components make a group; a group's sets are dealt into chunks, and a tree
@@ -417,7 +417,7 @@ def rest_links(sets: DataFrame) -> DataFrame:
     rows = sets.select("id", "n", "root", "tokens").mapInArrow(explode, "id long, root long, token long")
     common = rows.groupBy("token").agg(F.min("id").alias("first"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token", "first")
     together = components(rows.join(common, "token").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()).select("id", F.col("root").alias("family"))
-    grouped = written(sets.join(together, "id"), "families")
+    grouped = scratch(sets.join(together, "id"), "families")
     sums = grouped.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     chunks = sums.select("family", F.ceil(F.greatest(F.col("sets") * 2 / F.lit(TREE_SETS), F.col("total") * 2 / F.lit(TREE_TOKENS))).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -431,24 +431,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: tuple[tuple[int
     """(doc_id, n_shingles, component_id) for every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch()
     nodes = written(sets_of(docs, words), "sets")
     by_id = nodes.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    n = F.col("n")
-    enough = F.col("shared") >= F.floor(n / SLACK) + 1
-    chosen = written(by_id.join(shared_counts(docs, words), "id").where(enough).select("doc_id", "id"), "chosen")
-    sets = written(full_sets(docs.where("doc_id is not null"), sized_broadcast(chosen.where("doc_id is not null")), words), "tokens")
-    links = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "id long, root long")
-    rooted = sets.withColumn("root", F.col("id"))
+    enough = F.col("shared") >= F.floor(F.col("n") / SLACK) + 1
+    chosen = scratch(by_id.join(shared_counts(docs, words), "id").where(enough).select("doc_id", "id"), "chosen")
+    rooted = scratch(full_sets(docs.where("doc_id is not null"), sized_broadcast(chosen.where("doc_id is not null")), words).withColumn("root", F.col("id")), "tokens")
+    found = written(spark.createDataFrame([], "id long, root long"), "components")
     for turns in (*rounds, None):
         if rooted.isEmpty():
             break
-        new = written(block_links(rooted, turns) if turns else rest_links(rooted), "new-links")
+        new = scratch(block_links(rooted, turns) if turns else rest_links(rooted, scratch), "new-links")
         if not new.isEmpty():
-            found = written(components(links.union(new)), "components")
-            links = found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
+            known = found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b")
+            before, found = found, written(components(known.union(new)), "components")
+            drop_written(before)
         if turns:
-            rooted = crossing(rooted.drop("root").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
+            rooted = crossing(rooted.drop("root").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")), scratch)
+            scratch.clear(rooted)
+    scratch.clear()
     labelled = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

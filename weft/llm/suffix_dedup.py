@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
-from weft.llm.common import Prefixes, shuffle_width, steps, text_buffer, written
+from weft.llm.common import Prefixes, drop_written, shuffle_width, steps, text_buffer, written
 
 SPAN = 100
 GRAM = 32
@@ -257,7 +257,9 @@ def repeats(docs: DataFrame, many: int = HOT) -> tuple[DataFrame, DataFrame]:
     looked = keyed.select("doc", "tag", "text").join(_listed(places.where(F.col("kind") != REPEAT), "places"), ["doc", "tag"])
     fields, reduce = _strings(n_buckets)
     more = buckets.by_bucket(_contexts(looked, n_buckets), fields, reduce, PLACE_ROWS)
-    return keyed, written(places.where(F.col("kind") == REPEAT).unionByName(more), "repeats")
+    found = written(places.where(F.col("kind") == REPEAT).unionByName(more), "repeats")
+    drop_written(places)
+    return keyed, found
 
 
 def dedup(docs: DataFrame, keep_text: bool = False, many: int = HOT) -> DataFrame:
