@@ -62,5 +62,24 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+WARC_SQL = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN smallest END AS refers_to FROM (
+  SELECT *, payload_bytes >= 100 AND smallest IS NOT NULL AND page_id IS DISTINCT FROM smallest AS again FROM (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS smallest FROM pages))"""
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+DECONTAMINATION_SQL = f"""
+WITH doc AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS MATERIALIZED (SELECT item_id, {_WORDS} AS w, least(10, len(w)) AS k FROM benchmark),
+item_window AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM item WHERE len(w) > 0)),
+doc_window AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc JOIN (SELECT DISTINCT k FROM item_window) ON len(w) >= k)),
+hit AS MATERIALIZED (SELECT doc_id, i, k, item_id FROM doc_window JOIN item_window USING (win, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no tokenizer, offsets of matches, image format or components; those queries are tested against brute force."""
+    return {"op7_warc": WARC_SQL, "op10_decontamination": DECONTAMINATION_SQL}
