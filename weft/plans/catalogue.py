@@ -173,6 +173,12 @@ for _name, _operation, _limit, _offset in (("impact_rename", "rename", 100, 0),
     _body, _walk = impact_sql(impact.default_depth(_operation), _limit, _offset)
     query(_name, PG, _body, _walk)(impact_rows(_operation, _limit, _offset))
 
+query("impact_bridge", ("syn_page_entity", "syn_page_edge"), """SELECT p.id, p.kind, 'frontend' AS plane, 'review_required' AS severity, CAST(0.6 AS DOUBLE) AS confidence, (SELECT count(*) FROM syn_page_edge e WHERE e.source = f.source) + 2 AS edges_passed,
+ (SELECT string_agg(node, ',' ORDER BY node) FROM (SELECT f.source AS node UNION SELECT a.target FROM syn_page_edge a WHERE a.source = f.source UNION SELECT b.target FROM syn_page_edge a JOIN syn_page_edge b ON b.source = a.target WHERE a.source = f.source)) AS path
+ FROM (SELECT * FROM syn_page_entity WHERE name = 'name3' ORDER BY qualified_name, id LIMIT 100) p JOIN syn_page_edge f ON f.target = p.id""")(
+    lambda e, g: impact.impact(e, g, "name3", "remove").select("id", "kind", "plane", "severity", F.round("confidence", 4).alias("confidence"), F.col("edges_passed").cast("long").alias("edges_passed"), F.array_join("path", ",").alias("path"))
+)
+
 # relay
 _layer = grouped("t.kind", schema.RELAY_LAYERS, "infra")
 _type = """CASE WHEN e.kind IN ('reads_table', 'reads_column', 'binds_to_statement') THEN 'db_read' WHEN e.kind IN ('writes_table', 'writes_column') THEN 'db_write'

@@ -70,6 +70,15 @@ SELECT concat('src/C', s_suppkey, '.java') AS path, s_suppkey AS k, s_nationkey
  ' @Autowired private S', s_suppkey, ' svc; // class Hidden {}', chr(10), ' @TableField("named_', s_suppkey, '") private Long fieldA;', chr(10), ' @GetMapping("/p/', s_suppkey, '/{id}") Object get', s_suppkey, '() { return svc.load(); }', chr(10),
  ' @Scheduled(cron="x") void job() { help(); }', chr(10), ' void help() {}', chr(10), ' @Test void checks(int a, int b) {}', chr(10), '}') AS content
 FROM supplier""",
+    "syn_page_entity": """
+SELECT concat('ff:', p_partkey) AS id, 'frontend_field' AS kind, concat('name', p_partkey % 20) AS name, concat('q', p_partkey) AS qualified_name FROM part
+UNION ALL SELECT DISTINCT concat('fi:', p_size), 'file', concat('f', p_size), concat('f', p_size) FROM part
+UNION ALL SELECT DISTINCT concat('hc:', p_size), 'http_client_call', concat('GET /', p_size), concat('f', p_size, '#GET /', p_size) FROM part
+UNION ALL SELECT DISTINCT concat('en:', p_size % 3), 'http_endpoint', concat('GET /', p_size % 3), concat('GET /', p_size % 3) FROM part""",
+    "syn_page_edge": """
+SELECT concat('fi:', p_size) AS source, concat('ff:', p_partkey) AS target, 'contains' AS kind, CAST(1.0 AS DOUBLE) AS confidence FROM part
+UNION ALL SELECT DISTINCT concat('fi:', p_size), concat('hc:', p_size), 'contains', CAST(1.0 AS DOUBLE) FROM part
+UNION ALL SELECT DISTINCT concat('hc:', p_size), concat('en:', p_size % 3), 'matches_endpoint', CAST(0.6 AS DOUBLE) FROM part""",
     "syn_xml_source": """
 SELECT concat('res/M', statement_id, '.xml') AS path, statement_id, operation, sql_text, concat('<mapper namespace="com.acme.M', statement_id, '"><', operation, ' id="', statement_id, '">', sql_text, '</', operation, '></mapper>') AS content FROM syn_sql""",
 }
