@@ -76,8 +76,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows up to which an id list may be broadcast (8 bytes each; counted before the hint is given).
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a table of ids may be broadcast, about 90 MB then; they are counted before the hint is given.
+BROADCAST_ROWS = 1_000_000
 
 
 def sized_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
