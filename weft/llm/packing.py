@@ -42,7 +42,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encode = WordEncoder(path)
         kind = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         uid = TaskContext.get().partitionId() << 40
-        for batch in steps(batches, size=2 << 20):
+        for batch in steps(batches, size=3 << 20):
             ids, bounds = encode(batch.column("text"))
             ids = np.insert(ids, bounds[1:], END_ID).astype(kind)
             bounds = bounds + np.arange(len(bounds))

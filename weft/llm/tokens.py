@@ -29,7 +29,7 @@ class WordEncoder:
     them is a word of its own. All other chunks are encoded between special tokens.
     """
 
-    KEEP = 150_000
+    KEEP = 400_000
     #: Words that are encoded at once; the library's results take far more memory than the ids.
     AT_ONCE = 8192
     STOPS = (".", ",")
