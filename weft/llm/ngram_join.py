@@ -18,7 +18,8 @@ Equal sets are one node from the start, so copies cost nothing. Sets are compare
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is its own component; fewer words than a
 shingle make one shingle; rows of one doc_id are documents of their own that share the id; a null doc_id is ignored where
-the smallest is taken and remains null where a component has no other; extra columns are ignored.
+the smallest is taken and remains null where a component has no other; a set of which no row has a doc_id is linked with
+equal sets only, as its text cannot be fetched again; extra columns are ignored.
 """
 
 from __future__ import annotations
