@@ -177,6 +177,37 @@ def test_line_dedup_hot_buckets_and_columns(spark):
     assert line_dedup.report(empty(spark)).count() == 0
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bucket", [line_dedup.BUCKET, 2])
+def test_line_dedup_threshold_grows(spark, monkeypatch, bucket):
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdeé𝒳") for _ in range(r.randint(1, 7)))
+    lines = []
+    for n in (23, 24, 25, 36, 60):
+        base = " ".join(word() for _ in range(n))
+        for _ in range(12):
+            x = base
+            for _ in range(r.randint(0, n // 10)):
+                p = r.randrange(len(x))
+                x = x[:p] + r.choice(["", " ", "q", "q" + x[p]]) + x[p + 1 :]
+            lines.append(x.strip(" "))
+    lines = list(dict.fromkeys(lines))
+    r.shuffle(lines)
+    edits = lambda a, b: max(1, min(a.count(" ") + 1, b.count(" ") + 1) // 12)
+    want = {i: (0, int(any(edits_between(o, x) <= edits(o, x) for o in lines[:i]))) for i, x in enumerate(lines)}
+    assert 0 < sum(v[1] for v in want.values()) < len(lines)
+    assert by_id(line_dedup.report(table(spark, list(enumerate(lines)))), "n_equal", "n_near") == want
+
+
 def test_banded_distance(spark):
     r = random.Random(4)
     pairs = []

@@ -1,27 +1,37 @@
 """Removal of repeated and nearly repeated lines by a segment-partition edit join, in DataFrame functions only.
 
-A line is removed if an earlier line is equal to it or within EDITS = 1 edit of it. Earlier is by doc_id, then by place in
-the document; lines are compared without the blanks around them, and lines under MIN_CHARS characters stay as they are.
+A line is removed if an earlier line is equal to it or within the threshold of it: one edit for every WORDS_PER_EDIT words
+(parameter words_per_edit) of the line with fewer of them, EDITS = 1 at least. Words are what stands between single blanks;
+text without blanks is one word, so its threshold stays 1. Earlier is by doc_id, then by place in the document; lines are
+compared without the blanks around them, and lines under MIN_CHARS characters stay as they are.
 
-Equal lines are one entry from the start. An entry is split into EDITS + 1 = 2 segments: of two lines one edit apart, one
+Equal lines are one entry from the start. Where the threshold is 1, an entry is split into EDITS + 1 = 2 segments: of two lines one edit apart, one
 segment is equal, at the same distance from the start or from the end. So an entry of length L is indexed under both of its
 halves, and probes, for lines one shorter, the same places of length L - 1. A bucket of more than BUCKET entries is not
 expanded into pairs: the half that differs is split again, and its entries are dealt anew under all that is outside the
 quarter with the edit, and so on, down to single characters, where a bucket is bounded by the alphabet. What shares a bucket
 at last is verified by a banded bit-parallel edit distance over longs.
 
+Where it is k > 1, an edit touches two words at most, so two such lines share a run of (words - 2k) / (k + 1) words, rounded
+up, which is least for k = 2. Of the hashes of all runs of about half as many words, the least of every few consecutive ones
+is kept, so that every such run holds a kept hash in both lines; this is linear in the line, where the windows of shifted
+segments grow with the square of k. The lines of a kept hash that more than BUCKET have are dealt by length, in cells as
+wide as their largest threshold, and a full cell in blocks, each of which meets the lines of its own and the next cells; what meets is verified by Spark's banded edit distance with the pair's own threshold.
+
 Defined cases: null text is empty; rows of one doc_id and one text count as one document, so they keep the same lines; a
 null doc_id comes last; extra columns pass through deduplicated(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, sized_broadcast
+from weft.llm.decontaminate import combined, gram_hashes, let
 
 EDITS = 1
+WORDS_PER_EDIT = 12
 MIN_CHARS = 20
 BUCKET = 64
 LAST = (1 << 63) - 1
@@ -128,14 +138,64 @@ def near_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return both.where(banded_distance(F.col("y_line"), F.col("x_line")) <= EDITS).select("x1", "x2", "y1", "y2")
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def kept_hashes(words: Column, words_per_edit: int) -> Column:
+    """The hashes that lines within the threshold share, each once; see the head of this module."""
+    span = -(-2 * (words_per_edit - 2) // 3)
+    k = (span + 1) // 2
+    w = span - k + 1
+    least = lambda a, b: F.least(a, b)
+
+    def grow(x: Column, size: int) -> Column:
+        if 2 * size <= w:
+            return let(combined(x, size, x, least), lambda y: grow(y, 2 * size))
+        return combined(x, w - size, x, least) if size < w else x
+
+    return F.array_distinct(let(gram_hashes(words, k), lambda g: grow(g, 1)))
+
+
+def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFrame:
+    """(x1, x2, y1, y2) of the different lines (h1, h2, line, n_words; repeats are allowed) within a threshold over 1."""
+    lines = lines.where(F.col("n_words") >= 2 * words_per_edit)
+    # explode_outer: for explode the optimizer would add a filter that computes the hashes a second time
+    rows = lines.select("h1", F.explode_outer(kept_hashes(F.split("line", " ", -1), words_per_edit)).alias("bucket"))
+    bucket = Window.partitionBy("bucket")  # one shuffle of hashes alone; the few that meet are given their lines' sizes later
+    live = rows.select("bucket", "h1", (F.min("h1").over(bucket) != F.max("h1").over(bucket)).alias("live")).where("live").select("bucket", "h1").distinct()
+    live = scratch(live, "far-rows")
+    sizes = scratch(lines.select("h1", "h2", F.length("line").alias("size"), "n_words").distinct(), "far-lines")
+    rows = scratch(live.join(sizes, "h1"), "far-rows")
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n"), (F.floor(F.max("n_words") / words_per_edit) + 1).cast("int").alias("width")).where(F.col("n") > BUCKET).drop("n")
+    celled = rows.join(hot, "bucket", "left").withColumn("cell", F.coalesce(F.floor(F.col("size") / F.col("width")).cast("int"), F.lit(0)))
+    celled = scratch(celled, "far-cells")
+    blocks = celled.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks")).where("blocks > 1")
+    one = F.coalesce("blocks", F.lit(1))
+    x = celled.join(blocks, ["bucket", "cell"], "left").withColumn("block", F.pmod("h2", one))
+    cells = F.when(F.col("width").isNull(), F.array("cell")).otherwise(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+    y = celled.withColumn("cell", F.explode(cells)).join(blocks, ["bucket", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), one - 1)))
+    x, y = (side.select("bucket", "cell", "block", *[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "size", "n_words")]) for s, side in (("x", x), ("y", y)))
+    smaller = (F.col("x_h1") < F.col("y_h1")) | ((F.col("x_h1") == F.col("y_h1")) & (F.col("x_h2") < F.col("y_h2")))
+    edits = F.floor(F.least("x_n_words", "y_n_words") / words_per_edit).cast("int")
+    met = x.join(y, ["bucket", "cell", "block"]).where(smaller & (F.abs(F.col("x_size") - F.col("y_size")) <= edits) & (F.abs(F.col("x_n_words") - F.col("y_n_words")) <= edits))
+    pairs = scratch(met.select(F.col("x_h1").alias("x1"), F.col("x_h2").alias("x2"), F.col("y_h1").alias("y1"), F.col("y_h2").alias("y2"), edits.alias("edits")).distinct(), "far-pairs")
+    needed = scratch(pairs.select("x1", "x2").union(pairs.select("y1", "y2")).toDF("h1", "h2").distinct(), "far-needed")
+    texts = scratch(lines.join(sized_broadcast(needed), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "far-texts")
+    x, y = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
+    words = [F.split(f"{s}_line", " ", -1) for s in "xy"]
+    few = (F.size(F.array_except(*words)) <= 2 * F.col("edits")) & (F.size(F.array_except(*words[::-1])) <= 2 * F.col("edits"))  # an edit touches two words at most
+    return pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).where(few & F.expr("levenshtein(x_line, y_line, edits) >= 0")).select("x1", "x2", "y1", "y2")
+
+
+def dropped(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(key, drop, n_equal, n_near): indexes of the lines to remove from the documents (key, doc_id, text)."""
+    if words_per_edit < 3:
+        raise ValueError("an edit may touch two words, so words_per_edit is 3 at least")
     scratch = Scratch()
     lines = hashed(lines_of(docs))
     places = scratch(lines.select("key", "doc", "at", "h1", "h2"), "lines")
     place = F.struct("doc", "key", "at")
     firsts = scratch(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
-    near = near_pairs(lines.select("h1", "h2", "line"), scratch)
+    worded = lines.select("h1", "h2", "line", (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("n_words"))
+    # a threshold of 1 goes with under 2 * words_per_edit words on one side, so with one more at most on the other
+    near = near_pairs(worded.where(F.col("n_words") <= 2 * words_per_edit).select("h1", "h2", "line"), scratch).union(far_pairs(worded, scratch, words_per_edit))
     x, y = (firsts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("first").alias(f"{s}_first")) for s in "xy")
     ordered = near.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
     x_later = F.col("x_first") > F.col("y_first")
@@ -158,10 +218,10 @@ def kept_text(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")), 1))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Per document: lines, lines removed as equal and as near, characters kept, SHA-256 of the kept text."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    found = docs.join(dropped(docs), "key", "left")
+    found = docs.join(dropped(docs, words_per_edit), "key", "left")
     kept = kept_text(F.col("text"), F.col("drop"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return found.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), zero("n_equal"), zero("n_near"), kept.alias("kept")).select(
@@ -169,9 +229,9 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """The documents with their kept lines, all other columns as they were; those of which nothing is left go."""
     held = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")))
-    found = held.join(dropped(held.select("key", "doc_id", "text")), "key", "left").withColumn("kept", kept_text(F.col("text"), F.col("drop")))
+    found = held.join(dropped(held.select("key", "doc_id", "text"), words_per_edit), "key", "left").withColumn("kept", kept_text(F.col("text"), F.col("drop")))
     found = found.where(F.col("drop").isNull() | F.col("kept").rlike(r"\S"))
     return found.select(F.col("row").withField("text", F.col("kept")).alias("row")).select("row.*")
