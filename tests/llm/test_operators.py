@@ -435,6 +435,14 @@ def test_decontamination(spark):
     assert decontaminate.report(empty(spark), b).count() == 0 and not any(r.contaminated for r in decontaminate.report(df, b.limit(0)).collect())
 
 
+def test_decontamination_counts_items_without_an_id(spark):
+    b = spark.createDataFrame([(None, " ".join(f"q{i}" for i in range(12))), (None, "r s t"), (4, "u v")], "item_id long, text string")
+    texts = [(1, "x " + " ".join(f"Q{i}" for i in range(1, 11)) + " y"), (2, "a r s t u v"), (3, "a b c")]
+    got = by_id(decontaminate.report(table(spark, texts), b), "n_hit", "n_items", "contaminated")
+    assert got == {1: (10, 0, True), 2: (5, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.clean(table(spark, texts), b).collect()] == [3]
+
+
 # quality
 
 

@@ -8,7 +8,7 @@ Items of fewer than SPAN words are one window each and found by the hashes of al
 The benchmark is broadcast only where its windows were counted and are at most BROADCAST_WINDOWS; else it is shuffled.
 
 Defined cases: null text has no words; items without words are never found; equal rows have equal results; a null item_id
-is left out of the list; extra columns are ignored; an empty benchmark leaves every document clean.
+is left out of the list, its hits count; extra columns are ignored; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -74,10 +74,10 @@ def winnowed(words: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, size: Column) -> DataFrame:
-    """(key, at, window) for every run of so many words, as text."""
+    """(key, size, at, window) for every run of so many words, as text."""
     last = F.size("words") - size
     runs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("words", i + 1, size))))
-    return df.select(key, F.posexplode(runs).alias("at", "window"))
+    return df.select(key, size.alias("size"), F.posexplode(runs).alias("at", "window"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch()
     items = scratch(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
     size = F.least(F.size("words"), F.lit(SPAN))
-    item_windows = scratch(windows(items.withColumn("size", size), "item_id", F.col("size")).select("item_id", "window").join(items.select("item_id", size.alias("size")).distinct(), "item_id").distinct(), "item-windows")
+    item_windows = scratch(windows(items, "item_id", size).select("item_id", "window", "size").distinct(), "item-windows")
     n_windows = item_windows.count()
     small = (lambda df: F.broadcast(df)) if n_windows <= BROADCAST_WINDOWS else (lambda df: df)
     worded = docs.select("key", words(F.col("text")).alias("words"))
@@ -101,7 +101,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         candidates = candidates.union(more.select("key"))
     candidates = scratch(candidates.distinct(), "candidates")
     chosen = docs.join(sized_broadcast(candidates), "key", "left_semi").select("key", words(F.col("text")).alias("words"))
-    near = [windows(chosen, "key", F.lit(k)).withColumn("size", F.lit(k)) for k in [*short, SPAN]]
+    near = [windows(chosen, "key", F.lit(k)) for k in [*short, SPAN]]
     rows = near[0]
     for more in near[1:]:
         rows = rows.union(more)
