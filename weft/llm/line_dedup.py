@@ -10,13 +10,18 @@ segment is equal, at the same distance from the start or from the end. So an ent
 halves, and probes, for lines one shorter, the same places of length L - 1. A bucket of more than BUCKET entries is not
 expanded into pairs: the half that differs is split again, and its entries are dealt anew under all that is outside the
 quarter with the edit, and so on, down to single characters, where a bucket is bounded by the alphabet. What shares a bucket
-at last is verified by a banded bit-parallel edit distance over longs.
-
-Where it is k > 1, an edit touches two words at most, so two such lines share a run of (words - 2k) / (k + 1) words, rounded
-up, which is least for k = 2. Of the hashes of all runs of about half as many words, the least of every few consecutive ones
-is kept, so that every such run holds a kept hash in both lines; this is linear in the line, where the windows of shifted
-segments grow with the square of k. The lines of a kept hash that more than BUCKET have are dealt by length, in cells as
-wide as their largest threshold, and a full cell in blocks, each of which meets the lines of its own and the next cells; what meets is verified by Spark's banded edit distance with the pair's own threshold.
+at last, and differs in one letter at most, is verified by a banded bit-parallel edit distance over longs.
+
+Where it is k > 1, lines are cut into segments by what they say and not by place: at the blanks that follow a character of
+CUTS. An edit spoils two segments at most, so two such lines share all but 2k of the different segments of either; with
+one order for all segments, the longest first, they share one of the first 2k + 1. A line with fewer segments than that is cut
+at every blank as well, equal words being numbered, which gives 12k or more. Those segments are indexed with the line's length cell, and
+those down to that of the shortest line within the threshold, so no shifted windows are needed, whose number grows with the cube of k.
+Lines that meet are compared by length, words and counts of letters; the pairs left are verified by Spark's banded edit
+distance with the pair's own threshold: in column functions the bit-parallel form takes 2k + 1 steps a character there. Where
+more than BUCKET lines have a segment, they are dealt by length, in cells as wide as their largest threshold, and a full cell
+in blocks, each of which meets the lines of its own and the next cells; there a pair is verified in the join itself, and in
+the first segment only that it shares.
 
 Defined cases: null text is empty; rows of one doc_id and one text count as one document, so they keep the same lines; a
 null doc_id comes last; extra columns pass through deduplicated(); an empty table gives an empty result.
@@ -28,12 +33,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, sized_broadcast
-from weft.llm.decontaminate import combined, gram_hashes, let
 
 EDITS = 1
 WORDS_PER_EDIT = 12
 MIN_CHARS = 20
 BUCKET = 64
+#: Lines of a hot bucket's cell that one block holds.
+BLOCK = 1024
+#: Blanks that end a segment: those after a character of about every second code.
+CUTS = r"(?<=[!#%')+\-/13579;=?ACEGIKMOQSUWYacegikmoqsuwy]) "
+#: Lengths of one cell of the index differ by less than this ratio.
+CELL_RATIO = 1.1
+LETTERS = "etnahirosdlucm"
 LAST = (1 << 63) - 1
 BAND = 2 * EDITS + 1
 
@@ -106,6 +117,35 @@ def all_rows(lines: DataFrame) -> DataFrame:
     return segment_rows(each.select("*", F.explode(halves(F.lit(0), F.col("size"))).alias("i")).select("h1", "h2", "line", "extra", "size", "i.a", "i.b"))
 
 
+def letter_counts(line: Column) -> list[Column]:
+    """Counts of the LETTERS, 127 at most each, as two longs of seven bytes."""
+    packed = []
+    for letters in (LETTERS[:7], LETTERS[7:]):
+        column = F.lit(0).cast("long")
+        for i, c in enumerate(letters):
+            n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c))), F.lit(127)).cast("long")
+            column = column.bitwiseOR(F.shiftleft(n, 8 * i))
+        packed.append(column)
+    return packed
+
+
+def surplus(a: Column, b: Column) -> Column:
+    """What a has more than b, summed over the bytes, or less by a multiple of 255.
+
+    All bytes at once and each term written once or twice: the join's code must stay small enough to be compiled.
+    """
+    high = 0x0080808080808080
+    t = a.bitwiseOR(high) - b  # in each byte 128 + a - b
+    more = t.bitwiseAND(high)
+    return t.bitwiseAND(more - F.shiftright(more, 7)) % 255
+
+
+def letters_allow(edits: Column) -> Column:
+    """Whether so many edits can make up the difference in letters: each takes one letter away at most, and adds one."""
+    low, high = (F.col("x_low"), F.col("y_low")), (F.col("x_high"), F.col("y_high"))
+    return (surplus(*low) + surplus(*high) <= edits) & (surplus(*low[::-1]) + surplus(*high[::-1]) <= edits)
+
+
 def near_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(x1, x2, y1, y2) of the different lines (h1, h2, line; repeats are allowed) within EDITS edits; x is not the longer.
 
@@ -135,53 +175,93 @@ def near_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch(pairs.distinct(), "pairs")
     x, y = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
     both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
-    return both.where(banded_distance(F.col("y_line"), F.col("x_line")) <= EDITS).select("x1", "x2", "y1", "y2")
+    both = both.select("*", *[c.alias(f"{s}_{n}") for s in "xy" for c, n in zip(letter_counts(F.col(f"{s}_line")), ("low", "high"), strict=True)])
+    return both.where(letters_allow(F.lit(EDITS)) & (banded_distance(F.col("y_line"), F.col("x_line")) <= EDITS)).select("x1", "x2", "y1", "y2")
 
 
-def kept_hashes(words: Column, words_per_edit: int) -> Column:
-    """The hashes that lines within the threshold share, each once; see the head of this module."""
-    span = -(-2 * (words_per_edit - 2) // 3)
-    k = (span + 1) // 2
-    w = span - k + 1
-    least = lambda a, b: F.least(a, b)
+def length_cell(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(CELL_RATIO))).cast("int")
 
-    def grow(x: Column, size: int) -> Column:
-        if 2 * size <= w:
-            return let(combined(x, size, x, least), lambda y: grow(y, 2 * size))
-        return combined(x, w - size, x, least) if size < w else x
 
-    return F.array_distinct(let(gram_hashes(words, k), lambda g: grow(g, 1)))
+def prefix_rows(df: DataFrame, level: int) -> DataFrame:
+    """(h1, level, segment, bucket) of (h1, size, edits, prefix): the segments under the length cells of the line."""
+    shorter = F.sequence(length_cell(F.col("size") - F.col("edits")), length_cell(F.col("size")))
+    each = F.flatten(F.transform(shorter, lambda c: F.transform("prefix", lambda e: F.struct(e.alias("segment"), F.xxhash64(F.lit(level), c, e).alias("bucket")))))
+    # explode_outer: for explode the optimizer would add a filter that computes the segments a second time
+    return df.select("h1", F.lit(level).alias("level"), F.explode_outer(each).alias("e")).select("h1", "level", "e.*")
+
+
+def segment_key(segment: Column, *more: Column) -> Column:
+    """A long that sorts longer segments first, then by hash: one order for all lines."""
+    length = F.lit(2047) - F.least(F.length(segment), F.lit(2047))
+    return F.shiftleft(length.cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64(segment, *more), 12))
+
+
+def segments(line: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(line, CUTS, -1), lambda c: segment_key(c)))
+
+
+def prefix(segments: Column) -> Column:
+    return F.slice(F.sort_array(segments), F.lit(1), 2 * F.col("edits") + 1)
+
+
+def far_rows(lines: DataFrame) -> DataFrame:
+    """(h1, level, segment, bucket) of the lines (h1, h2, line, size, edits): lines within their threshold share a bucket."""
+    cut = lines.withColumn("segments", segments(F.col("line")))
+    rows = prefix_rows(cut.withColumn("prefix", prefix(F.col("segments"))), 1)
+    # a line with too few segments is cut at every blank as well, and equal words are numbered
+    words = cut.where(F.size("segments") <= 2 * F.col("edits")).select("h1", "h2", "size", "edits", F.explode(F.split("line", " ", -1)).alias("word"))
+    counted = words.groupBy("h1", "h2", "size", "edits", "word").agg(F.count("*").cast("int").alias("n"))
+    times = F.least("n", 2 * F.col("edits") + 1)  # more of one word than the prefix holds are not needed
+    keys = F.transform(F.sequence(F.lit(1), times), lambda i: segment_key(F.col("word"), i))
+    numbered = counted.select("h1", "h2", "size", "edits", keys.alias("keys")).groupBy("h1", "h2", "size", "edits").agg(F.flatten(F.collect_list("keys")).alias("segments"))
+    return rows.union(prefix_rows(numbered.withColumn("prefix", prefix(F.col("segments"))), 2))
 
 
 def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFrame:
     """(x1, x2, y1, y2) of the different lines (h1, h2, line, n_words; repeats are allowed) within a threshold over 1."""
-    lines = lines.where(F.col("n_words") >= 2 * words_per_edit)
-    # explode_outer: for explode the optimizer would add a filter that computes the hashes a second time
-    rows = lines.select("h1", F.explode_outer(kept_hashes(F.split("line", " ", -1), words_per_edit)).alias("bucket"))
-    bucket = Window.partitionBy("bucket")  # one shuffle of hashes alone; the few that meet are given their lines' sizes later
-    live = rows.select("bucket", "h1", (F.min("h1").over(bucket) != F.max("h1").over(bucket)).alias("live")).where("live").select("bucket", "h1").distinct()
-    live = scratch(live, "far-rows")
-    sizes = scratch(lines.select("h1", "h2", F.length("line").alias("size"), "n_words").distinct(), "far-lines")
-    rows = scratch(live.join(sizes, "h1"), "far-rows")
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n"), (F.floor(F.max("n_words") / words_per_edit) + 1).cast("int").alias("width")).where(F.col("n") > BUCKET).drop("n")
-    celled = rows.join(hot, "bucket", "left").withColumn("cell", F.coalesce(F.floor(F.col("size") / F.col("width")).cast("int"), F.lit(0)))
-    celled = scratch(celled, "far-cells")
-    blocks = celled.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks")).where("blocks > 1")
-    one = F.coalesce("blocks", F.lit(1))
-    x = celled.join(blocks, ["bucket", "cell"], "left").withColumn("block", F.pmod("h2", one))
-    cells = F.when(F.col("width").isNull(), F.array("cell")).otherwise(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    y = celled.withColumn("cell", F.explode(cells)).join(blocks, ["bucket", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), one - 1)))
-    x, y = (side.select("bucket", "cell", "block", *[F.col(c).alias(f"{s}_{c}") for c in ("h1", "h2", "size", "n_words")]) for s, side in (("x", x), ("y", y)))
+    lines = lines.where(F.col("n_words") >= 2 * words_per_edit).withColumns({"size": F.length("line"), "edits": F.floor(F.col("n_words") / words_per_edit).cast("int")})
+    rows = far_rows(lines)
+    live = rows.groupBy("bucket").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least != most").select("bucket")
+    live = scratch(live, "far-buckets")
+    rows = scratch(rows.join(sized_broadcast(live), "bucket", "left_semi").distinct(), "far-rows")
+    needed = scratch(rows.select("h1").distinct(), "far-needed")
+    low, high = letter_counts(F.col("line"))
+    texts = lines.join(sized_broadcast(needed), "h1", "left_semi").select("h1", "h2", "line", "size", "edits").distinct()
+    texts = scratch(texts.select("*", low.alias("low"), high.alias("high")), "far-texts")
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("bucket")
+    hot = sized_broadcast(scratch(hot, "far-hot"))
+
+    def sides(x: DataFrame, y: DataFrame, *columns: str) -> list[DataFrame]:
+        columns = ("h1", "h2", "size", "edits", "low", "high", *columns)
+        default = lambda c: F.lit("") if c == "line" else F.array().cast("array<long>") if c == "prefix" else F.lit(0)  # noqa: E731  none is null, and so Spark knows
+        return [side.select(*[c for c in ("bucket", "cell", "block") if c in side.columns], *[F.coalesce(c, default(c)).alias(f"{s}_{c}") for c in columns]) for s, side in (("x", x), ("y", y))]
+
     smaller = (F.col("x_h1") < F.col("y_h1")) | ((F.col("x_h1") == F.col("y_h1")) & (F.col("x_h2") < F.col("y_h2")))
-    edits = F.floor(F.least("x_n_words", "y_n_words") / words_per_edit).cast("int")
-    met = x.join(y, ["bucket", "cell", "block"]).where(smaller & (F.abs(F.col("x_size") - F.col("y_size")) <= edits) & (F.abs(F.col("x_n_words") - F.col("y_n_words")) <= edits))
-    pairs = scratch(met.select(F.col("x_h1").alias("x1"), F.col("x_h2").alias("x2"), F.col("y_h1").alias("y1"), F.col("y_h2").alias("y2"), edits.alias("edits")).distinct(), "far-pairs")
-    needed = scratch(pairs.select("x1", "x2").union(pairs.select("y1", "y2")).toDF("h1", "h2").distinct(), "far-needed")
-    texts = scratch(lines.join(sized_broadcast(needed), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct(), "far-texts")
+    edits = F.least("x_edits", "y_edits")
+    meets = smaller & (F.abs(F.col("x_size") - F.col("y_size")) <= edits) & letters_allow(edits)
+    within = lambda k: F.expr(f"levenshtein(x_line, y_line, {k}) >= 0")
+    pair = [F.col("x_h1").alias("x1"), F.col("x_h2").alias("x2"), F.col("y_h1").alias("y1"), F.col("y_h2").alias("y2")]
+
+    few = rows.join(hot, "bucket", "left_anti").select("bucket", "h1").join(texts.drop("line"), "h1")
+    x, y = sides(few, few)
+    pairs = scratch(x.join(y, "bucket").where(meets).select(*pair, edits.alias("edits")).distinct(), "far-pairs")
     x, y = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "xy")
-    words = [F.split(f"{s}_line", " ", -1) for s in "xy"]
-    few = (F.size(F.array_except(*words)) <= 2 * F.col("edits")) & (F.size(F.array_except(*words[::-1])) <= 2 * F.col("edits"))  # an edit touches two words at most
-    return pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).where(few & F.expr("levenshtein(x_line, y_line, edits) >= 0")).select("x1", "x2", "y1", "y2")
+    found = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).where(within("edits")).select("x1", "x2", "y1", "y2")
+
+    many = rows.join(hot, "bucket", "left_semi")
+    owned = many.groupBy("h1", "level").agg(F.sort_array(F.collect_set("segment")).alias("prefix"))  # the first 2 * edits + 1 at most
+    many = many.join(owned, ["h1", "level"]).join(texts, "h1")
+    width = many.groupBy("bucket").agg((F.max("edits") + 1).alias("width"))
+    many = scratch(many.join(width, "bucket").withColumn("cell", F.floor(F.col("size") / F.col("width")).cast("int")), "far-cells")
+    blocks = many.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = sized_broadcast(scratch(blocks, "far-blocks"))
+    x = many.join(blocks, ["bucket", "cell"]).withColumn("block", F.pmod("h2", "blocks"))
+    y = many.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).join(blocks, ["bucket", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = sides(x, y, "line", "level", "segment", "prefix")
+    once = F.get(F.array_intersect("x_prefix", "y_prefix"), F.lit(0)) == F.col("x_segment")
+    met = x.join(y, ["bucket", "cell", "block"]).where(meets & (F.col("x_level") == F.col("y_level")) & (F.col("x_segment") == F.col("y_segment")) & once & within("least(x_edits, y_edits)"))
+    return found.union(met.select(*pair).distinct())
 
 
 def dropped(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
@@ -209,7 +289,9 @@ def dropped(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """key: two hashes of doc_id and text, so that no two of many documents share one by chance."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("key", F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, "doc_id").alias("b")))
 
 
 def kept_text(text: Column, drop: Column) -> Column:
