@@ -7,7 +7,7 @@ Items of fewer than SPAN words are one window each and found by the hashes of al
 
 The benchmark is broadcast only where its windows were counted and are at most BROADCAST_WINDOWS; else it is shuffled.
 
-Defined cases: null text has no words; items without words are never found; equal rows have equal results; a null item_id
+Defined cases: item ids may be of any type and are listed as strings; null text has no words; items without words are never found; equal rows have equal results; a null item_id
 is left out of the list, its hits count; extra columns are ignored; an empty benchmark leaves every document clean.
 """
 
@@ -83,7 +83,7 @@ def windows(df: DataFrame, key: str, size: Column) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, n_hit, items) of the documents (key, text) with a hit."""
     scratch = Scratch()
-    items = scratch(benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
+    items = scratch(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
     size = F.least(F.size("words"), F.lit(SPAN))
     item_windows = scratch(windows(items, "item_id", size).select("item_id", "window", "size").distinct(), "item-windows")
     n_windows = item_windows.count()
@@ -115,7 +115,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """key: two hashes of doc_id and text, so that no two of many documents share one by chance."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("key", F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, "doc_id").alias("b")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = keyed(docs.select("doc_id", "text"))
     found = hits(docs, benchmark)
     joined = docs.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, "key", "left")
-    items = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<long>")), lambda x: x.cast("string")))
+    items = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
     return joined.select(
         F.col("doc_id").cast("long"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
