@@ -111,7 +111,7 @@ def kind_spans(text: Column, index: int) -> Column:
                 match, piece = F.get(found, i), F.get(pieces, i)
                 start = before + F.length(piece)
                 near = F.lower(F.concat(F.right(piece, F.lit(CONTEXT)), F.lit(" "), F.left(F.get(pieces, i + 1), F.lit(CONTEXT))))
-                score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})"), 0.3).otherwise(0.0))
+                score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})\b"), 0.3).otherwise(0.0))
                 return F.when(kind.confirm(match), F.struct(start.alias("start"), F.lit(index).alias("kind"), (start + F.length(match)).alias("stop"), F.round(score, 2).alias("score")))
 
             spans = F.transform(running_before(size), lambda before, i: span(i, before))
@@ -123,11 +123,14 @@ def kind_spans(text: Column, index: int) -> Column:
     return F.when(F.contains(text, F.lit(kind.hint)), spans).otherwise(none) if kind.hint else spans
 
 
+def spans_of(text: str) -> Column:
+    """All spans of the text column (no nulls) in order of start, then kind."""
+    return F.array_sort(F.concat(*[kind_spans(F.col(text), i) for i in range(len(KINDS))]))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with found: all spans in order of start, then kind."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = F.array_sort(F.concat(*[kind_spans(F.col("text"), i) for i in range(len(KINDS))]))
-    return docs.select("doc_id", text.alias("text")).withColumn("found", every)
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("found", spans_of("text"))
 
 
 def listed(spans: Column, with_score: bool = False) -> Column:
@@ -148,10 +151,11 @@ def summary(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets; of overlapping spans the earliest is."""
+    """docs, all columns kept, with each span replaced by its kind in angle brackets; of overlapping spans the earliest is."""
     names = F.array(*[F.lit(k.name) for k in KINDS])
     apart = F.aggregate("found", F.array().cast(f"array<{SPAN}>"), lambda a, s: F.when((F.size(a) == 0) | (s["start"] >= F.element_at(a, -1)["stop"]), F.concat(a, F.array(s))).otherwise(a))
     text = F.col("text")
     pieces = lambda spans: F.transform(spans, lambda s, i: F.concat(F.substr(text, F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))), F.lit("<"), F.get(names, s["kind"]), F.lit(">")))
     whole = let(apart, lambda spans: F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces(spans), ""), F.substr(text, F.element_at(spans, -1)["stop"] + 1))))
-    return find(docs).select("doc_id", whole.alias("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return held.withColumn("found", spans_of("text")).select(F.col("row").withField("text", whole).alias("row")).select("row.*")
