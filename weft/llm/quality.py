@@ -3,14 +3,14 @@
 Fit, on a bounded sample of labelled rows: hashed counts of byte trigrams and of words, weighted by inverse document
 frequency in the sample, projected to DIMENSIONS by a truncated singular value decomposition. The sample's unit vectors and
 labels are broadcast; every document is projected in the same way, its cosines with all of them are computed as blocked
-matrix products, and the labels of the NEIGHBOURS most similar vote with weights that grow with the similarity. Votes of a
+matrix products, and the labels of the NEIGHBOURS most similar, and of all as similar as the last of them, vote with weights that grow with the similarity. Votes of a
 class are divided by its share of the sample, so that the rarer class is not voted down.
 
-The bound: at most SAMPLE labelled rows of each class, those with the smallest hashes of doc_id. Labels are taken only from
+The bound: at most SAMPLE labelled rows of each class, those with the smallest hashes of doc_id, with one text each. Labels are taken only from
 rows whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. doc_id, lang, source and labels are no inputs of a score.
 
-Defined cases: null text is empty; a text without features scores by the sample's labels alone (0.5 after weighting); a
-doc_id with several labels counts for each; labels without a document are skipped; without labelled rows of both classes
+Defined cases: null text is empty; a text without features scores 0.5; cosines are equal that agree in five decimals; a
+doc_id with several labels counts for each; of a labelled doc_id's texts the one with the least hash counts; labels without a document are skipped; without labelled rows of both classes
 every score is 0.5; extra columns are ignored.
 """
 
@@ -114,11 +114,11 @@ class Model:
         vectors = unit(weighted(x, self.idf) @ self.projection)
         out = np.empty(len(x))
         for a in range(0, len(x), BLOCK):
-            cosine = vectors[a : a + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
-            similarity = np.take_along_axis(cosine, near, axis=1)
-            weight = np.exp(8 * (similarity - 1)) * self.votes[near]
-            out[a : a + BLOCK] = (weight * self.label[near]).sum(axis=1) / weight.sum(axis=1)
+            cosine = np.round(vectors[a : a + BLOCK] @ self.vectors.T, 5)
+            last = -np.partition(-cosine, self.neighbours - 1, axis=1)[:, self.neighbours - 1 : self.neighbours]
+            weight = np.where(cosine >= last, np.exp(8 * (cosine - 1)) * self.votes, 0)
+            out[a : a + BLOCK] = (weight * self.label).sum(axis=1) / weight.sum(axis=1)
+        out[~vectors.any(axis=1)] = 0.5
         return np.clip(out, 0, 1)
 
 
@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     picked = chosen[0].union(chosen[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked.groupBy("doc_id", "quality").agg(F.count("*").alias("times"))), "doc_id")
+    texts = texts.groupBy("doc_id", "quality", "times").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "quality", F.explode(F.array_repeat("text", F.col("times").cast("int"))).alias("text"))
 
     def run(batches):
         for step in steps(batches):
