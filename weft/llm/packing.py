@@ -27,6 +27,8 @@ LENGTH = 4096
 #: Tokens in a window of the round-robin.
 WINDOW = 64 * LENGTH
 END_ID = 2
+#: Power of a source's tokens that is its target share where no weights are given.
+MIXTURE = 0.7
 #: Rows of a queue that one running sum covers; their totals are summed in a second level.
 CHUNK = 8192
 
@@ -70,23 +72,24 @@ def running_sum(df: DataFrame, value: str, group: list[str], block: Column, orde
     return df.join(totals.drop("_total"), [*group, "_block"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_block", "_base")
 
 
-def positions(lengths: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+def positions(lengths: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None, mixture: float = MIXTURE) -> DataFrame:
     """(uid, window_id, position) of the rows (uid, source, n): the place of each document in the packed stream.
 
-    weights: target share by source (default: each source's share of all tokens, so that no queue runs dry early).
-    A source without a weight gets the smallest one.
+    weights: target share by source; a source without a weight gets the smallest one. Without weights, a source's target
+    is its number of tokens to the power mixture: below 1 small sources come sooner, at 1 all queues last equally long.
+    A queue that has run dry grants nothing more, so later windows are smaller; no token is left out or repeated.
     """
     queued = running_sum(lengths, "n", ["source"], F.col("uid").bitwiseAND(~(CHUNK - 1)), ["uid"], "before")
     shares = lengths.groupBy("source").agg(F.sum("n").alias("tokens"))
     if weights is None:
-        share = F.col("tokens")
+        share = F.pow(F.col("tokens").cast("double"), F.lit(float(mixture)))
     else:
         table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         share = F.coalesce(F.element_at(table, F.col("source")), F.lit(float(min(weights.values()))))
     shares = shares.withColumn("share", share.cast("double"))
     total = shares.agg(F.sum("share")).first()[0] or 1.0
     quantum = shares.select("source", (F.col("share") / F.lit(total) * F.lit(float(window))).alias("quantum"))
-    served = queued.join(quantum, "source").withColumn("window_id", F.floor((F.col("before") + F.col("n") - 1) / F.col("quantum")))
+    served = queued.join(quantum, "source").withColumn("window_id", F.ceil((F.col("before") + F.col("n")) / F.col("quantum")) - 1)
     # places: all earlier windows, in two levels, and then the order inside the window (at most one window's rows)
     per_window = served.groupBy("window_id").agg(F.sum("n").alias("n"))
     starts = running_sum(per_window.withColumn("all", F.lit(0)), "n", ["all"], F.floor(F.col("window_id") / CHUNK), ["window_id"], "base").select("window_id", "base")
@@ -95,10 +98,10 @@ def positions(lengths: DataFrame, window: int = WINDOW, weights: dict[str, float
     return placed.join(starts, "window_id").select("uid", "window_id", (F.col("base") + F.col("within")).alias("position"))
 
 
-def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, weights: dict[str, float] | None = None, vocabulary: str | None = None, mixture: float = MIXTURE) -> DataFrame:
     """One row per piece; see the module's text for the method."""
     tokens = written(tokenized(docs, vocabulary), "packing-tokens")
-    placed = positions(tokens.select("uid", "source", "n"), window, weights)
+    placed = positions(tokens.select("uid", "source", "n"), window, weights, mixture)
 
     def cut(batches):
         for batch in batches:
