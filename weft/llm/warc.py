@@ -6,14 +6,17 @@ bytes are never inflated: every record is a gzip member of its own whose header
 length in the 'sl' extra field that the WARC standard describes, so the reader inflates the head alone and steps over the
 rest. Members without that field are inflated, as they must be.
 
-Writing makes one file per task under a name of its own, which commit moves into place; a task that is run again, or twice,
-leaves nothing behind.
+Writing makes one file per task under a name of its own, which commit moves into place; appending adds files, overwriting
+replaces them. Drafts lie in a folder of the write that commit and abort remove, so a task that is run again, or twice, or
+whose executor is lost, leaves nothing behind.
 
 archive_pages() decides which of the records with equal payloads is the response, the others are revisits: equal payloads
 of at least MIN_SHARED bytes, smallest page_id first. Smaller ones are all responses.
 
 Defined cases: null html is the empty payload; a null page_id is never the smallest of several; rows with equal page_id and
-equal payload are alike, both responses if theirs is the smallest; an empty table makes an empty archive.
+equal payload are alike, both responses if theirs is the smallest; an empty table makes an empty archive. Reading refuses
+files that are cut off, records without an end of their header and lengths that are no numbers, with file and place; page
+ids and payload lengths that are no numbers read as null.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, page_id long,
 #: Columns that the header alone gives.
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "page_id", "refers_to", "payload_digest", "payload_bytes")
 HEAD_CHUNK = 2048
+#: Bytes that one request for a file brings, that one step inflates, and that a header may have.
+BLOCK_BYTES, INFLATED, MOST_HEADER = 1 << 20, 1 << 16, 1 << 20
 #: Bytes of archives that one partition reads.
 SPLIT_BYTES = 32 << 20
 
@@ -48,6 +53,13 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if re.match(r"\w[\w+.-]*:/", path) else (fs.LocalFileSystem(), path)
 
 
+def archives(system, folder: str) -> list:
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted((x for x in found if x.is_file and re.search(r"\.warc(\.gz)?$", x.path)), key=lambda x: x.path)
+
+
 def http_block(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
 
@@ -83,58 +95,138 @@ def member_length(head: bytes) -> int | None:
 
 
 def parse_header(head: bytes) -> dict:
+    """The header's fields by column. Own numbers that are none read as null; a length that is none is an error."""
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(": ")
-        fields[name.lower()] = value
-    number = lambda k: int(fields[k]) if k in fields else None
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    number = lambda k: int(fields[k]) if re.fullmatch(r"-?[0-9]{1,18}", fields.get(k, "")) else None
+    length = number("content-length")
+    if length is None and fields.get("content-length") or (length or 0) < 0:
+        raise ValueError(f"Content-Length is {fields['content-length']!r}")
     return {
         "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "page_id": number("x-page-id"),
-        "refers_to": number("x-refers-to-page-id"), "payload_digest": fields.get("warc-payload-digest", "").partition(":")[2] or None, "payload_bytes": number("x-payload-length"), "content_length": number("content-length") or 0,
+        "refers_to": number("x-refers-to-page-id"), "payload_digest": fields.get("warc-payload-digest", "").partition(":")[2] or None, "payload_bytes": number("x-payload-length"), "content_length": length or 0,
     }
 
 
+class Blocks:
+    """A file read in blocks: what lies within the block at hand costs no request, a seek past it does."""
+
+    def __init__(self, file, size: int = BLOCK_BYTES):
+        self.file, self.size, self.held, self.begin, self.at = file, size, b"", 0, 0
+
+    def read(self, n: int) -> bytes:
+        begun = self.at - self.begin
+        if begun + n > len(self.held):
+            if begun < len(self.held):
+                self.held = self.held[begun:]
+            else:
+                self.file.seek(self.at)
+                self.held = b""
+            self.begin, begun = self.at, 0
+            self.held += self.file.read(max(self.size, n - len(self.held)))
+        out = self.held[begun : begun + n]
+        self.at += len(out)
+        return out
+
+    def seek(self, at: int) -> None:
+        if not self.begin <= at <= self.begin + len(self.held):
+            self.held, self.begin = b"", at
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+
+class Member:
+    """One gzip member, inflated as far as is asked for."""
+
+    def __init__(self, file, head: bytes):
+        self.file, self.inflate = file, zlib.decompressobj(31)
+        self.plain = self.inflate.decompress(head, INFLATED)
+
+    def more(self) -> bytes:
+        """The next part; the member must go on."""
+        held = self.inflate.unconsumed_tail or self.file.read(HEAD_CHUNK * 16)
+        if not held:
+            raise ValueError("the file ends within a gzip member")
+        return self.inflate.decompress(held, INFLATED)
+
+    def header(self) -> int:
+        """Bytes of the header, after which the block begins."""
+        while (cut := self.plain.find(b"\r\n\r\n")) < 0:
+            if self.inflate.eof or len(self.plain) > MOST_HEADER:
+                raise ValueError("a record has no end of its header")
+            self.plain += self.more()
+        return cut
+
+    def rest(self) -> bytes:
+        parts = [self.plain]
+        while not self.inflate.eof:
+            parts.append(self.more())
+        return b"".join(parts)
+
+    def skip(self) -> None:
+        while not self.inflate.eof:
+            self.more()
+
+
 def read_records(file, wanted, with_payload: bool) -> Iterator[dict]:
-    """Records of one archive; wanted(header) tells which. Plain and per-record gzip files are understood."""
-    while head := file.read(HEAD_CHUNK):
-        begun = file.tell() - len(head)
-        if head[:2] == b"\x1f\x8b":
-            inflate = zlib.decompressobj(31)
-            plain = inflate.decompress(head, 1 << 16)
-            while b"\r\n\r\n" not in plain and not inflate.eof:
-                plain += inflate.decompress(inflate.unconsumed_tail or file.read(HEAD_CHUNK), 1 << 16)
-            cut = plain.index(b"\r\n\r\n")
-            found = parse_header(plain[:cut])
-            length = member_length(head)
-            take = wanted(found)
-            if take and with_payload and found["content_length"]:
-                parts = [plain]
-                while not inflate.eof:
-                    parts.append(inflate.decompress(inflate.unconsumed_tail or file.read(1 << 16)))
-                plain = b"".join(parts)
-            elif length is None:
-                while not inflate.eof:
-                    inflate.decompress(inflate.unconsumed_tail or file.read(1 << 16), 1 << 16)
-            file.seek(begun + length if length is not None else file.tell() - len(inflate.unused_data))
-        else:
-            plain = head.lstrip(b"\r\n")
-            if not plain:
-                continue
-            while b"\r\n\r\n" not in plain:
-                plain += file.read(HEAD_CHUNK)
-            cut = plain.index(b"\r\n\r\n")
-            found = parse_header(plain[:cut])
-            take = wanted(found)
-            body = file.tell() - len(plain) + cut + 4
-            if take and with_payload and found["content_length"]:
-                file.seek(body)
-                plain = plain[: cut + 4] + file.read(found["content_length"])
-            file.seek(body + found["content_length"] + 4)
-        if take:
-            if with_payload:
-                block = plain[cut + 4 : cut + 4 + found["content_length"]]
-                found["payload"] = block.partition(b"\r\n\r\n")[2] if block else None
-            yield found
+    """Records of one archive; wanted(header) tells which. Plain and per-record gzip files are understood.
+
+    What is cut off or malformed is refused with its place: ValueError.
+    """
+    begun = 0
+    try:
+        while head := file.read(HEAD_CHUNK):
+            begun = file.tell() - len(head)
+            if head[:2] == b"\x1f\x8b":
+                member = Member(file, head)
+                cut = member.header()
+                found = parse_header(member.plain[:cut])
+                length = member_length(head)
+                take = wanted(found)
+                plain = member.plain
+                if take and with_payload and found["content_length"]:
+                    plain = member.rest()
+                elif length is None:
+                    member.skip()
+                if length is not None:
+                    file.seek(begun + length - 1)
+                    if not file.read(1):
+                        raise ValueError("the file ends within a gzip member")
+                else:
+                    file.seek(file.tell() - len(member.inflate.unused_data))
+            else:
+                plain = head.lstrip(b"\r\n")
+                if not plain:
+                    continue
+                while (cut := plain.find(b"\r\n\r\n")) < 0:
+                    more = file.read(HEAD_CHUNK)
+                    if not more or len(plain) > MOST_HEADER:
+                        raise ValueError("a record has no end of its header")
+                    plain += more
+                found = parse_header(plain[:cut])
+                take = wanted(found)
+                body = file.tell() - len(plain) + cut + 4
+                if take and with_payload and found["content_length"]:
+                    file.seek(body)
+                    plain = plain[: cut + 4] + file.read(found["content_length"])
+                if found["content_length"]:
+                    file.seek(body + found["content_length"] - 1)
+                    if not file.read(1):
+                        raise ValueError("the file ends within a record")
+                file.seek(body + found["content_length"])
+            if take:
+                if with_payload:
+                    block = plain[cut + 4 : cut + 4 + found["content_length"]]
+                    if len(block) < found["content_length"]:
+                        raise ValueError("a record is shorter than its length says")
+                    found["payload"] = block.partition(b"\r\n\r\n")[2] if block else None
+                yield found
+    except (ValueError, zlib.error) as e:
+        raise ValueError(f"{e}, in the record at byte {begun}") from e
 
 
 class Files(InputPartition):
@@ -160,10 +252,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        from pyarrow import fs
-
         system, path = filesystem(self.path)
-        files = sorted((x for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if re.search(r"\.warc(\.gz)?$", x.path)), key=lambda x: x.path)
+        files = archives(system, path)
         groups, held = [[]], 0
         for x in files:
             if groups[-1] and held + x.size > SPLIT_BYTES:
@@ -178,8 +268,11 @@ class WarcReader(DataSourceReader):
         wanted = lambda h: all(h[k] is not None and (v is None or h[k] in v) for k, v in self.tests)
         for path in partition.paths:
             with system.open_input_file(path) as file:
-                for found in read_records(file, wanted, "payload" in self.columns):
-                    yield tuple(found.get(k) for k in self.columns)
+                try:
+                    for found in read_records(Blocks(file), wanted, "payload" in self.columns):
+                        yield tuple(found.get(k) for k in self.columns)
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
 
 
 class Written(WriterCommitMessage):
@@ -188,33 +281,38 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Files are named by the write and the task, so a write never meets another's; drafts are in a folder of the write."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.write_id = path, overwrite, uuid.uuid4().hex
         system, inner = filesystem(path)
-        system.create_dir(inner, recursive=True)
+        system.create_dir(f"{inner}/_drafts-{self.write_id}", recursive=True)
 
     def write(self, rows):
         from pyspark import TaskContext
 
         system, inner = filesystem(self.path)
-        name = f"part-{TaskContext.get().partitionId():05d}"
-        draft = f"{inner}/_{name}-{uuid.uuid4().hex}"
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.write_id}"
+        draft = f"{inner}/_drafts-{self.write_id}/{name}-{uuid.uuid4().hex}"
         with system.open_output_stream(draft, compression=None) as out:
             for r in rows:
                 out.write(record(r.record_type, r.page_id, r.target_uri, r.refers_to, r.payload_digest, r.payload_bytes, bytes(r.payload or b"")))
         return Written(draft, f"{inner}/{name}.warc.gz")
 
     def commit(self, messages):
-        system, _ = filesystem(self.path)
+        """New files first, then the old ones go where the write replaces them, then what lost tasks have left."""
+        system, inner = filesystem(self.path)
+        before = archives(system, inner) if self.overwrite else []
         for m in messages:
             if m:
                 system.move(m.draft, m.final)
+        for x in before:
+            system.delete_file(x.path)
+        system.delete_dir(f"{inner}/_drafts-{self.write_id}")
 
     def abort(self, messages):
-        system, _ = filesystem(self.path)
-        for m in messages:
-            if m:
-                system.delete_file(m.draft)
+        system, inner = filesystem(self.path)
+        system.delete_dir(f"{inner}/_drafts-{self.write_id}")
 
 
 class WarcSource(DataSource):
@@ -231,7 +329,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema.fieldNames())
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -272,14 +370,14 @@ def read_archive(spark: SparkSession, path: str, columns: list[str] | None = Non
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive the pages, read the archives back, and describe what was read.
 
-    A response's size and digest are those of the payload as read; a revisit's are in its header.
+    Responses are read with their payloads, which give size and digest; revisits by their headers alone. Either kind is
+    asked for by a predicate that the reader takes, so no payload is inflated that is not wanted.
     """
     spark = pages.sparkSession
     path = archive_pages(pages)
-    found = read_archive(spark, path)
-    response = F.col("record_type") == "response"
+    columns = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     body = F.coalesce("payload", F.lit(b"").cast("binary"))
-    return found.select(
-        "page_id", F.when(response, F.length(body).cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha2(body, 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
-    )
+    responses = read_archive(spark, path, [*columns, "payload"]).where("record_type = 'response'")
+    responses = responses.withColumns({"payload_bytes": F.length(body).cast("long"), "payload_digest": F.sha2(body, 256)})
+    revisits = read_archive(spark, path, columns).where("record_type = 'revisit'")
+    return responses.drop("payload").unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
