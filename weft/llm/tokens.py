@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 #: Where the vocabulary files are; a parameter of every operator that needs one.
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
+MULTI_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def vocabulary_path(name: str) -> str:
