@@ -1,7 +1,7 @@
 """A shuffle of packed arrays: one row holds what one batch sends to one hash bucket.
 
 Rows per (batch, bucket) instead of per item keep Spark's row overhead off the items; a reducer sees one bucket at a time
-and sorts it in numpy. The number of buckets follows the session's shuffle width, so a bucket stays small as data grow.
+and sorts it in numpy. The number of buckets follows the input's size, so a bucket stays small as data grow.
 """
 
 from __future__ import annotations
@@ -13,7 +13,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weft.llm.common import shuffle_width
+
 Arrays = dict[str, np.ndarray]
+#: Bytes of input, as Spark's statistics have them, for each bucket.
+BUCKET_BYTES = 16 << 20
+
+
+def how_many(df: DataFrame) -> int:
+    """Buckets for what is sent from df: two for each shuffle partition, more where these would grow too large."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size < 1 << 60  # else Spark has no statistics
+    return min(max(2 * shuffle_width(df.sparkSession), size // BUCKET_BYTES if known else 0), 1 << 30)
 
 
 def schema(fields: dict[str, str]) -> str:

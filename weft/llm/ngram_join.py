@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
-from weft.llm.common import Scratch, drop_written, mix, shuffle_width, sized_broadcast, steps, text_buffer, word_hashes, written
+from weft.llm.common import Scratch, drop_written, mix, sized_broadcast, steps, text_buffer, word_hashes, written
 from weft.llm.components import components
 
 WORDS = 5
@@ -102,7 +102,7 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def shared_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, shared): how many of a set's prefix tokens also occur in the prefix of another set."""
-    n_buckets = 2 * shuffle_width(docs.sparkSession)
+    n_buckets = buckets.how_many(docs)
 
     def run(batches):
         seen: set[int] = set()
@@ -332,7 +332,7 @@ def crossing_counts(sets: DataFrame, by_class: bool) -> DataFrame:
 
     by_class tells partners apart by the class of their size (kind); else kind is 0 for all.
     """
-    n_buckets = 2 * shuffle_width(sets.sparkSession)
+    n_buckets = buckets.how_many(sets)
     n_sums = max(1, n_buckets // 8)  # every token bucket sends to every one of these
 
     def run(batches):

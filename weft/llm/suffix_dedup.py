@@ -1,15 +1,20 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by prefix-free parsing and the suffix array of the dictionary.
 
 Parse: the trigger of a 100-byte string is the smallest rolling hash among its 32-byte grams (the leftmost of equals), so
 equal strings have equal triggers at equal offsets. Consecutive starts with one trigger make a phrase; its bytes reach to
 the end of its last string. Phrases with equal bytes are one dictionary entry whose first place in corpus order is known
 from one sort of (trigger, bytes, place); every later place repeats all of its strings and needs no more work, which is
-what makes highly repetitive text cheap. Only entries that share a trigger but differ in bytes are looked into: the
-strings of their first places are sorted, as suffixes of the dictionary cut at 100 bytes, and all but the first of equal
-ones are repeats.
+what makes highly repetitive text cheap.
 
-Strings are compared by two independent 64-bit hashes. A trigger with very many different phrases in one batch is hot;
-its strings are dealt by their own hash and not by the trigger's, so no bucket holds a hot trigger's phrases.
+Dictionary: entries that share a trigger but differ in bytes may still share strings. A bucket gets all entries of its
+triggers, and the suffix array of their bytes is built by prefix doubling, to a depth of 100 bytes. Neighbours in it with
+100 bytes in common are one string, compared by its bytes; merged with the entries' places, all but the first in corpus
+order are repeats. The parse needs no suffix array of its own: phrases overlap by 99 bytes, so every string lies within one
+phrase, and the parse could only order strings by what comes after their 100 equal bytes.
+
+Phrases are compared by their trigger and a second 64-bit hash of all their bytes. A trigger with very many different
+phrases in one batch is hot; its strings are dealt by their own hash and not by the trigger's, so no bucket holds a hot
+trigger's phrases; there, strings are compared by two 64-bit hashes.
 
 Defined cases: null or short text has nothing to remove; rows with one doc_id and one text get the same result; rows with
 one doc_id and different texts are ordered by a hash of the text; a null doc_id comes last; extra columns are ignored.
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
-from weft.llm.common import Prefixes, drop_written, shuffle_width, steps, text_buffer, written
+from weft.llm.common import Prefixes, drop_written, steps, text_buffer, written
 
 SPAN = 100
 GRAM = 32
@@ -212,6 +217,28 @@ def _contexts(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, buckets.schema(CONTEXTS))
 
 
+def suffix_classes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The class of text[i:i + SPAN] for each i in at: classes are numbered in the order of their bytes.
+
+    Prefix doubling over all suffixes of the text, from 8 bytes to 64, and one last step over those asked for.
+    """
+    padded = np.concatenate((text, np.zeros(SPAN + 8, np.uint8)))
+    rank = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        rank = rank << np.uint64(8) | padded[i : i + len(text)]
+    width = 8
+    while True:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        reach = min(width, SPAN - width)  # what is known of a suffix, and of the one that ends where the depth is reached
+        last = width + reach >= SPAN
+        here = at if last else np.arange(len(text))
+        beyond = here + reach
+        rank = rank[here] << np.uint64(32) | np.where(beyond < len(text), rank[np.minimum(beyond, len(text) - 1)] + np.uint64(1), np.uint64(0))
+        if last:
+            return np.unique(rank, return_inverse=True)[1]
+        width += reach
+
+
 def _strings(n_buckets: int):
     fields = {k: "u1" for k in CONTEXTS}
 
@@ -224,8 +251,8 @@ def _strings(n_buckets: int):
             begin = np.cumsum(width) - width
             one = np.repeat(np.arange(len(width)), x["size"])
             within = np.arange(len(one)) - np.repeat(np.cumsum(x["size"]) - x["size"], x["size"])
-            at = begin[one] + within
-            x = {"first": Prefixes(x["text"]).of(at, at + SPAN), "second": Prefixes(x["text"], second=True).of(at, at + SPAN), "doc": x["doc"][one], "tag": x["tag"][one], "start": x["start"][one] + within}
+            order = suffix_classes(x["text"], begin[one] + within)
+            x = {"first": order, "second": np.zeros(len(order), np.uint8), "doc": x["doc"][one], "tag": x["tag"][one], "start": x["start"][one] + within}
         x = _ordered(x, "first", "second", "doc", "tag", "start")
         again = _later(x, _new(x["first"], x["second"]))
         x = _ordered({k: x[k][again] for k in ("doc", "tag", "start")}, "doc", "tag", "start")
@@ -250,7 +277,7 @@ def _listed(places: DataFrame, name: str) -> DataFrame:
 
 def repeats(docs: DataFrame, many: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents with key columns, spans): spans has, by (doc, tag), lists of string starts to remove."""
-    n_buckets = 2 * shuffle_width(docs.sparkSession)
+    n_buckets = buckets.how_many(docs)
     keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.hash(F.coalesce("text", F.lit(""))), "text": F.coalesce("text", F.lit(""))})
     sent = _phrases(keyed.select("doc", "tag", "text"), n_buckets, many)
     places = written(buckets.by_bucket(sent, PHRASES, _decide, PLACE_ROWS).distinct(), "phrases")
