@@ -240,7 +240,8 @@ def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFr
     smaller = (F.col("x_h1") < F.col("y_h1")) | ((F.col("x_h1") == F.col("y_h1")) & (F.col("x_h2") < F.col("y_h2")))
     edits = F.least("x_edits", "y_edits")
     meets = smaller & (F.abs(F.col("x_size") - F.col("y_size")) <= edits) & letters_allow(edits)
-    within = lambda k: F.expr(f"levenshtein(x_line, y_line, {k}) >= 0")
+    # a line that goes on from another needs no matrix: their lengths are known to be close
+    within = lambda k: F.expr(f"startswith(x_line, y_line) or startswith(y_line, x_line) or levenshtein(x_line, y_line, {k}) >= 0")
     pair = [F.col("x_h1").alias("x1"), F.col("x_h2").alias("x2"), F.col("y_h1").alias("y1"), F.col("y_h2").alias("y2")]
 
     few = rows.join(hot, "bucket", "left_anti").select("bucket", "h1").join(texts.drop("line"), "h1")
