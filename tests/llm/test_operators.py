@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -67,6 +68,10 @@ def test_pii_long_runs_validators_and_context(spark):
     assert (got[1].spans, got[2].spans, got[3].n_email) == ("", "", 5000)
     assert got[4].spans == "iban:7:34" and got[5].spans == "secret:8:40" and got[6].spans == ""
     assert pii.redact(table(spark, texts).where("doc_id in (4, 5)")).orderBy("doc_id").first().text == "pay to <iban> or DE88 3704 0044 0532 0130 00"
+    again = pii.redact(table(spark, texts)).where("doc_id = 5").first()
+    assert again.asDict().keys() == set(table(spark, texts).columns) and again.text == "token = <secret>"
+    idle = [(1, "0123456789abcdef0123456789abcdef an idea"), (2, "keyboard 0123456789abcdef0123456789abcdef"), (3, "key 0123456789abcdef0123456789abcdef")]
+    assert {r.doc_id: r.spans for r in pii.summary(table(spark, idle)).collect()} == {1: "", 2: "", 3: "secret:4:36"}
     assert pii.summary(empty(spark)).count() == 0
 
 
@@ -110,7 +115,7 @@ def test_packing(spark):
 
 def test_packing_keeps_the_mixture(spark):
     lengths = spark.createDataFrame([(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(3000)], "uid long, source string, n long")
-    placed = packing.positions(lengths, window=2000).join(lengths, "uid").groupBy("window_id").pivot("source", ["a", "b"]).agg(F.sum("n")).toPandas().sort_values("window_id")
+    placed = packing.positions(lengths, window=2000, mixture=1).join(lengths, "uid").groupBy("window_id").pivot("source", ["a", "b"]).agg(F.sum("n")).toPandas().sort_values("window_id")
     total = lengths.groupBy("source").agg(F.sum("n").alias("n")).toPandas().set_index("source").n
     for s in "ab":
         done, share = placed[s].cumsum(), total[s] / total.sum()
@@ -122,6 +127,37 @@ def test_packing_keeps_the_mixture(spark):
     assert (spots.position.to_numpy() == np.concatenate(([0], np.cumsum(spots.n)[:-1]))).all()
 
 
+def round_robin(queues, quantum):
+    """Deficit round-robin, one window after the other: {source: [window of each document]}."""
+    out, sent, deficit, window = {s: [] for s in queues}, dict.fromkeys(queues, 0), dict.fromkeys(queues, 0.0), 0
+    while any(sent[s] < len(q) for s, q in queues.items()):
+        for s, q in queues.items():
+            deficit[s] += quantum[s]
+            while sent[s] < len(q) and q[sent[s]] <= deficit[s]:
+                deficit[s] -= q[sent[s]]
+                sent[s] += 1
+                out[s].append(window)
+        window += 1
+    return out
+
+
+def test_packing_equals_a_sequential_round_robin(spark):
+    r = random.Random(13)
+    queues = {s: [r.choice([1, 2, 3, 5, 8, 13, 100]) for _ in range(r.randint(50, 300))] for s in "abcd"}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, q in queues.items() for n in q)]
+    weights = {"a": 1.0, "b": 2.0, "c": 4.0, "d": 9.0}  # of 16, so quanta are exact: 2.5, 5, 10 and 22.5
+    got = packing.positions(spark.createDataFrame(rows, "uid long, source string, n long"), window=40, weights=weights).collect()
+    found = {x.uid: x.window_id for x in got}
+    want = round_robin(queues, {s: 2.5 * w for s, w in weights.items()})
+    assert {s: [found[i] for i, t, _ in rows if t == s] for s in queues} == want
+    sizes = {i: n for i, _, n in rows}
+    at = 0
+    for x in sorted(got, key=lambda x: x.position):
+        assert x.position == at
+        at += sizes[x.uid]
+    assert [x.window_id for x in sorted(got, key=lambda x: x.position)] == sorted(found.values())
+
+
 # line dedup
 
 
@@ -288,6 +324,41 @@ def test_warc_skips_payloads_and_reads_plain_files(tmp_path):
         assert [(h["page_id"], len(h["payload"] or b"")) for h in warc.read_records(f, lambda h: True, True)] == [(1, 50_000), (2, 0)]
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    pages = lambda a, b: spark.createDataFrame([(i, "u", f"text {i}") for i in range(a, b)], "page_id long, url string, html string").repartition(3)
+    ids = lambda: sorted(r.page_id for r in warc.read_archive(spark, path, ["page_id"]).collect())
+    warc.archive_pages(pages(0, 10), path)
+    warc.archive_pages(pages(10, 20), path)
+    assert ids() == list(range(20))
+    warc.records(pages(30, 35)).write.format("warc").mode("overwrite").save(path)
+    assert ids() == list(range(30, 35)) and not [x for x in (tmp_path / "w").iterdir() if x.is_dir()]
+
+
+def test_warc_refuses_what_is_cut_or_malformed(tmp_path):
+    one = warc.record("response", 1, "u", None, "d", 5000, random.Random(0).randbytes(5000))
+    plain = zlib.decompressobj(31).decompress(one)
+    no_length = zlib.compress(plain, wbits=31)
+    read = lambda data, payload=True: list(warc.read_records(warc.Blocks(io.BytesIO(data), 512), lambda h: True, payload))
+    for whole in (one, plain, no_length):
+        assert [len(x["payload"]) for x in read(whole * 3)] == [5000] * 3 and len(read(whole * 3, False)) == 3
+        for end in (30, 200, 3000, len(whole) - 9):
+            for payload in (True, False):
+                with pytest.raises(ValueError, match="at byte"):
+                    read(whole + whole[:end], payload)
+    with pytest.raises(ValueError, match="Content-Length"):
+        read(plain.replace(b"Content-Length: 5", b"Content-Length: x5", 1))
+    assert read(plain.replace(b"X-Page-ID: 1", b"X-Page-ID: one"))[0]["page_id"] is None
+    assert read(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n")[0]["record_type"] == "metadata"
+
+
+def test_warc_query_inflates_responses_only(spark):
+    pages = spark.createDataFrame([(i, "u", "same text " * 50) for i in range(20)], "page_id long, url string, html string")
+    plan = warc.round_trip(pages)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "BatchScan" in x]
+    assert len(scans) == 2 and sum("payload#" in x for x in scans) == 1 and "record_type" not in "".join(x for x in plan.splitlines() if "Filter (" in x)
+
+
 # Jaccard join
 
 
@@ -377,6 +448,16 @@ def suffix_brute(texts):
     return out
 
 
+def test_suffix_classes_follow_the_order_of_the_bytes():
+    r = np.random.default_rng(2)
+    for text in (r.integers(0, 2, 3000), np.tile(r.integers(0, 256, 130), 9), np.zeros(500), np.repeat(r.integers(0, 256, 8), 150)):
+        text = text.astype(np.uint8)
+        at = r.permutation(len(text) - suffix_dedup.SPAN + 1)
+        strings = [text[i : i + suffix_dedup.SPAN].tobytes() for i in at]
+        rank = {x: i for i, x in enumerate(sorted(set(strings)))}
+        assert suffix_dedup.suffix_classes(text, at).tolist() == [rank[x] for x in strings]
+
+
 @pytest.mark.parametrize("many", [suffix_dedup.HOT, 2])
 def test_suffix_dedup(spark, many):
     r = random.Random(1)
@@ -443,6 +524,12 @@ def test_decontamination_counts_items_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.clean(table(spark, texts), b).collect()] == [3]
 
 
+def test_decontamination_takes_ids_of_any_type(spark):
+    b = spark.createDataFrame([("b-2", "u v"), ("a", "r s t"), (None, "x y")], "item_id string, text string")
+    got = by_id(decontaminate.report(table(spark, [(1, "u v r s t x y"), (2, "u")]), b), "n_hit", "n_items", "items_sha256")
+    assert got == {1: (7, 2, hashlib.sha256(b"a,b-2").hexdigest()), 2: (0, 0, hashlib.sha256(b"").hexdigest())}
+
+
 # quality
 
 
@@ -464,6 +551,35 @@ def test_quality(spark):
     assert quality.keep_good(df, labels).columns == df.columns
 
 
+def test_quality_votes_as_plain_neighbours_do():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 5, (200, quality.TRIGRAMS + quality.TERMS)).astype(np.float32)
+    x[100:150] = x[:50]  # ties, also between the labels
+    y = r.integers(0, 2, 200)
+    model = quality.Model(x, y, neighbours=7)
+    ask = np.concatenate((r.integers(0, 5, (30, x.shape[1])).astype(np.float32), x[:20], np.zeros((2, x.shape[1]), np.float32)))
+    got = model(ask.copy())
+    vectors = quality.unit(quality.weighted(ask.copy(), model.idf) @ model.projection)
+    for v, score in zip(vectors, got, strict=True):
+        if not v.any():
+            assert score == 0.5
+            continue
+        near = [(round(float(v @ w), 5), label) for w, label in zip(model.vectors, y, strict=True)]
+        last = sorted((c for c, _ in near), reverse=True)[6]
+        share = {q: np.mean(y == q) for q in (0, 1)}
+        votes = {q: sum(np.exp(8 * (c - 1)) * 0.5 / share[q] for c, label in near if label == q and c >= last - 2e-5) for q in (0, 1)}
+        strict = {q: sum(np.exp(8 * (c - 1)) * 0.5 / share[q] for c, label in near if label == q and c >= last) for q in (0, 1)}
+        assert min(abs(v[1] / (v[0] + v[1]) - score) for v in (votes, strict)) < 1e-3
+
+
+def test_quality_fit_takes_one_text_of_a_repeated_id(spark):
+    texts = [(1, f"good words number {i} are here") for i in range(500)] + [(2, "BAD BAD BAD!!"), (3, "more good words"), (4, "")]
+    labels = spark.createDataFrame([(i, int(i != 2), 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    model = quality.fit(table(spark, texts), labels)
+    used = sorted(i for i in range(1, 5) if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert len(model.label if model else used) == len(used)
+
+
 # token counts
 
 
@@ -481,9 +597,27 @@ def test_rollup(spark):
     assert total() == {(s, g, token_rollup.VERSION): (want[s, g, 0], want[s, g, 1], want[s, g, 2]) for s, g, _ in want}
     held.apply("b1", token_rollup.revision(df, token_rollup.VERSION, "v2"))
     assert {k[2] for k in total()} == {"v2"}
-    held.apply("b2", token_rollup.deltas(df, -1, "v2"))
-    held.apply("b3", token_rollup.deltas(empty(spark)))
-    assert total() == {} and held.batches() == ["b0", "b1", "b2", "b3"]
-    fs, broken = held._fs(f"{held.path}/batch=b4")
-    fs.mkdirs(broken)
-    assert held.apply("b4", token_rollup.deltas(df)) and sum(v[0] for v in total().values()) == len(texts)
+    before = total()
+    assert held.compact() and not held.compact() and total() == before and not held.apply("b0", token_rollup.deltas(df))
+    held.apply("b/2 .%", token_rollup.deltas(df, -1, "v2"))
+    held.apply("", token_rollup.deltas(empty(spark)))
+    assert total() == {} and held.batches() == ["", "b/2 .%", "b0", "b1"]
+    assert held.compact() and total() == {}
+    other = token_rollup.Rollup(spark, held.path)  # a second driver that was a moment later
+    other.committed = lambda batch: False
+    assert held.apply("b4", token_rollup.deltas(df)) and not other.apply("b4", token_rollup.deltas(df))
+    held._write(token_rollup.deltas(df))  # written and never committed
+    assert sum(v[0] for v in total().values()) == len(texts)
+
+
+def test_rollup_history_equals_a_plain_count(spark):
+    texts = [(i, f"text number {i} " * (i % 9)) for i in range(60)] + [(70, None), (3, "again"), (3, "again")]
+    df = table(spark, texts)
+    count = tokens.byte_counter(tokens.vocabulary_path(tokens.MULTI_VOCABULARY))
+    want = Counter()
+    for r in df.collect():
+        for k, v in enumerate((1, count(r.text or ""), len(r.text or ""))):
+            want[r.source, r.lang, k] += v
+    got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens, r.n_chars) for r in token_rollup.rollup(df).collect()}
+    assert got == {(s, g, token_rollup.MULTI_VERSION): tuple(want[s, g, k] for k in range(3)) for s, g, _ in want}
+    assert token_rollup.rollup(empty(spark)).count() == 0
