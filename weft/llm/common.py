@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,12 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,11 +35,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is removed when the driver ends, if it is not removed before."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if not fs.exists(target):
+        fs.mkdirs(target)  # only what is there can be marked
+    fs.deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors; goes when the driver ends."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = until_exit(spark, fresh_path(spark, name))
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

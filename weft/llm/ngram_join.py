@@ -18,8 +18,7 @@ Equal sets are one node from the start, so copies cost nothing. Sets are compare
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is its own component; fewer words than a
 shingle make one shingle; rows of one doc_id are documents of their own that share the id; a null doc_id is ignored where
-the smallest is taken and remains null where a component has no other; a set of which no row has a doc_id is linked with
-equal sets only, as its text cannot be fetched again; extra columns are ignored.
+the smallest is taken and remains null where a component has no other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import buckets
@@ -87,7 +86,7 @@ def slack(n):
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, id, n): each document's set by its id; id is null for the empty set."""
+    """(doc_id, a, b, id, n): each document's set by its id; id is null for the empty set."""
 
     def run(batches):
         for step in steps(batches):
@@ -95,9 +94,9 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for x in shingle_sets(*text_buffer(step.column("text")), words):
                 ids.append(set_id(x) if len(x) else None)
                 sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "id", "n"])
+            yield pa.RecordBatch.from_arrays([*(step.column(c) for c in ("doc_id", "a", "b")), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "a", "b", "id", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, id long, n long")
+    return docs.mapInArrow(run, "doc_id long, a long, b long, id long, n long")
 
 
 def shared_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -275,14 +274,14 @@ def links_within(tokens: list[np.ndarray], roots: list[int]) -> list[int]:
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, tokens) of the chosen (doc_id, id), one document for each id."""
-    joined = docs.join(chosen, "doc_id")
+    """(id, n, tokens) of the chosen (a, b, id), one document for each id."""
+    joined = docs.join(chosen, ["a", "b"])
 
     def run(batches):
         for step in steps(batches):
             ids, sizes, out = [], [], []
             for wanted, x in zip(step.column("id").to_pylist(), shingle_sets(*text_buffer(step.column("text")), words), strict=True):
-                if len(x) and set_id(x) == wanted:  # else another row of the same doc_id
+                if len(x) and set_id(x) == wanted:  # else another text of the same hashes
                     ids.append(wanted)
                     sizes.append(len(x))
                     out.append(x.tobytes())
@@ -431,14 +430,47 @@ def rest_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: tuple[tuple[int, ...], ...] = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
+    labelled = components_of(keyed(docs), words, rounds)
+    smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of docs, of each component exactly one: that with the smallest doc_id, then the smallest hash of its text.
+
+    A null doc_id comes last. Documents without words are linked with nothing, so all of them stay.
+    """
+    held = keyed(docs, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    labelled = written(components_of(held, words).where("root is not null").select("root", "doc_id", "a", "b"), "labelled")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    first = labelled.groupBy("root").agg(F.min(place).alias("first"))
+    goes = written(labelled.join(first, "root").where(place != F.col("first")).select("a", "b").distinct(), "goes")
+    again = written(labelled.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b").join(goes, ["a", "b"], "left_anti"), "again")
+    n_goes, n_again = goes.count(), again.count()
+    rest = held.join(sized_broadcast(goes, n_goes), ["a", "b"], "left_anti")
+    drop_written(labelled)
+    if not n_again:
+        return rest.select("row.*")
+    again = sized_broadcast(again, n_again)
+    return rest.join(again, ["a", "b"], "left_anti").select("row").union(rest.join(again, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("row")).select("row.*")
+
+
+def keyed(docs: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, text, a, b): a and b are hashes of doc_id and text, which name a row; equal rows have equal names."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("a"), F.xxhash64(text, doc_id).alias("b"), *[c.alias(k) for k, c in more.items()])
+
+
+def components_of(docs: DataFrame, words: int = WORDS, rounds: tuple[tuple[int, ...], ...] = ROUNDS) -> DataFrame:
+    """(doc_id, a, b, id, n, root) of the documents (doc_id, text, a, b); root names the component, and is null for the empty set."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", "text", "a", "b")
     scratch = Scratch()
     nodes = written(sets_of(docs, words), "sets")
-    by_id = nodes.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    by_id = nodes.where("id is not null").groupBy("id").agg(F.min(F.struct("a", "b")).alias("key"), F.first("n").alias("n"))
     enough = F.col("shared") >= F.floor(F.col("n") / SLACK) + 1
-    chosen = scratch(by_id.join(shared_counts(docs, words), "id").where(enough).select("doc_id", "id"), "chosen")
-    rooted = scratch(full_sets(docs.where("doc_id is not null"), sized_broadcast(chosen.where("doc_id is not null")), words).withColumn("root", F.col("id")), "tokens")
+    chosen = scratch(by_id.join(shared_counts(docs.select("text"), words), "id").where(enough).select("key.*", "id"), "chosen")
+    rooted = scratch(full_sets(docs, sized_broadcast(chosen), words).withColumn("root", F.col("id")), "tokens")
     found = written(spark.createDataFrame([], "id long, root long"), "components")
     for turns in (*rounds, None):
         if rooted.isEmpty():
@@ -452,6 +484,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, rounds: tuple[tuple[int
             rooted = crossing(rooted.drop("root").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")), scratch)
             scratch.clear(rooted)
     scratch.clear()
-    labelled = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))

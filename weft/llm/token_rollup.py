@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh_path
+from weft.llm.common import fresh_path, until_exit
 from weft.llm.tokens import BYTE_VOCABULARY, MULTI_VOCABULARY, byte_counter, vocabulary_path
 
 #: Versions of the counting: the vocabulary's name and a number that rises when the counting changes.
@@ -180,7 +180,7 @@ def rollup(docs: DataFrame) -> DataFrame:
     All documents are loaded under the first version, and the batch is sent again; a revision counts them anew under the
     second; what is committed is compacted; then each document goes and comes back, as an edit does, and that is sent again.
     """
-    held = Rollup(docs.sparkSession, fresh_path(docs.sparkSession, "rollup"))
+    held = Rollup(docs.sparkSession, until_exit(docs.sparkSession, fresh_path(docs.sparkSession, "rollup")))
     load = deltas(docs)
     held.apply("load", load)
     held.apply("load", load)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from weft.llm.common import fresh_path
+from weft.llm.common import fresh_path, until_exit
 
 MIN_SHARED = 100
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -374,7 +374,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     asked for by a predicate that the reader takes, so no payload is inflated that is not wanted.
     """
     spark = pages.sparkSession
-    path = archive_pages(pages)
+    path = archive_pages(pages, until_exit(spark, fresh_path(spark, "warc")))
     columns = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     body = F.coalesce("payload", F.lit(b"").cast("binary"))
     responses = read_archive(spark, path, [*columns, "payload"]).where("record_type = 'response'")
