@@ -91,6 +91,14 @@ def test_scan_is_incremental_and_tools_answer(spark, tree, tmp_path):
     assert s.verify_edge("getOrder", "service")["match_count"] == 1
     doc = s.build_relay_doc("OrderService")
     assert doc["inbound"] or doc["outbound"]
+    assert doc["target"]["anchor"]["file"].endswith("OrderService.java") and doc["target"]["business"] == "custom:needs-review" and not doc["inbound_has_more"]
+    assert all(x["anchor"]["file"] and not x["needs_review"] for x in doc["inbound"] + doc["outbound"])
+    whole = s.build_relay_doc("OrderService", verbose=True)
+    assert all(x["evidence"] for x in whole["inbound"] + whole["outbound"])
+    first = s.build_relay_doc("OrderService", limit=1)
+    assert len(first["outbound"]) <= 1 and first["outbound_has_more"] == (len(doc["outbound"]) > 1)
+    assert all(f["evidence"] and f["evidence"][0]["file"] for f in found["findings"]) and any("resolved across files" in x["reason"] for f in found["findings"] for x in f["evidence"])
+    assert all({"tentative", "evidence_count"} <= x.keys() for x in s.trace_callees("getOrder", depth=3)["edges"])
     assert s.call("build_relay_doc", {"qn": "No"})["status"] == "error" and s.call("nothing", {})["status"] == "error"
     assert s.list_repositories()["repositories"][0]["repository"] == "default"
     assert len(json.dumps(s.show_system_view("api"))) < 2000
@@ -106,6 +114,13 @@ def test_protocol(spark, tmp_path):
     assert answer(s, '{"id":1,"method":"x"}')["error"]["code"] == -32601 and answer(s, '{"id":1,"method":"ping"}')["result"] == {}
     assert len(answer(s, '{"id":1,"method":"tools/list"}')["result"]["tools"]) == 15
     assert answer(s, '{"id":1,"method":"tools/call","params":{"name":"no"}}')["result"]["isError"]
+    tools = {t["name"]: t for t in answer(s, '{"id":1,"method":"tools/list"}')["result"]["tools"]}
+    for name in ("trace_callers", "trace_callees"):
+        inputs = tools[name]["inputSchema"]
+        assert inputs["properties"]["name"]["type"] == "string" and inputs["properties"]["depth"]["default"] == 2 and inputs["required"] == ["name"]
+        assert inputs["properties"]["edge_kinds"]["default"] == ["calls", "injects", "declares", "superclass_of"]
+    assert "target_kind" in tools["analyze_change"]["inputSchema"]["properties"] and "query" in tools["find_endpoint"]["inputSchema"]["required"]
+    assert all(t["outputSchema"]["properties"]["data"]["properties"] for t in tools.values())
 
 
 def test_stream(spark, tree, tmp_path):
@@ -132,3 +147,21 @@ def test_failed_file_is_tried_again(spark, tmp_path):
         files.register("toml", before)
     assert scan.scan_files(spark, rows, w).added == 1
     assert w.entities().where(F.col("kind") == "class").count() == 1
+
+
+def test_unresolved_names_are_written_to_the_metadata(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "db"))
+    java = lambda *texts: spark.createDataFrame([(f"{k}.java", "java", v, v) for k, v in texts], "path string, kind string, hash string, content string")
+    two = (("a/Base", "class Base {}"), ("b/Base", "class Base {}"))
+    said = lambda: {r.name: json.loads(r.metadata or "{}") for r in w.entities().where("kind = 'class'").collect()}
+    scan.scan_files(spark, java(*two, ("c/Some", "class Some extends Base {}")), w)
+    found = said()["Some"]
+    assert [(x["name"], x["candidates"]) for x in found["ambiguous_resolution"]] == [("Base", ["a/Base.java", "b/Base.java"])] and found["superclass"] == "Base"
+    scan.scan_files(spark, java(*two, ("c/Some", "class Some extends Base {}")), w)
+    assert said()["Some"] == found
+    before = w._pointer()["tables"]
+    scan.scan_files(spark, java(two[0], ("c/Some", "class Some extends Base {}")), w)
+    assert "ambiguous_resolution" not in said()["Some"] and said()["Some"]["superclass"] == "Base"
+    assert w.table("resolved").where("kind = 'superclass_of'").count() == 1 and w.table("resolved").first().evidence[0].file
+    w.replace(note=w.table("note"))
+    assert w._pointer()["tables"]["entity"] == w._pointer()["before"]["entity"] != before["entity"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft import schema
@@ -17,6 +17,20 @@ def default_depth(operation: str) -> int:
     return schema.DEFAULT_DEPTHS.get(operation, 1)
 
 
+EVIDENCE_LIST = f"array<{schema.EVIDENCE}>"
+
+
+def evidence_of(df: DataFrame) -> Column:
+    """The rows' evidence; tables without any have none."""
+    return F.coalesce("evidence", F.array().cast(EVIDENCE_LIST)) if "evidence" in df.columns else F.array().cast(EVIDENCE_LIST)
+
+
+def anchor_of(evidence: Column) -> Column:
+    """Where the first evidence stands, as JSON, or that it needs a review."""
+    first = F.get(evidence, F.lit(0))
+    return exprs.anchor(first["file"], first["start_line"], first["end_line"])
+
+
 def candidates(entities: DataFrame, name: str, limit: int = schema.DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """The page of entities of that name: most visible plane first, then by qualified name and id."""
     found = exact_name(entities, name, schema.SEARCH_CAP)
@@ -36,7 +50,7 @@ def neighbourhood(page: DataFrame, entities: DataFrame, edges: DataFrame, depth:
 
     def passed(found: DataFrame, hops: int, key: str, kinds=()) -> DataFrame:
         kept = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-        return found.where(F.col("distance") < hops).join(kept, F.col("node") == F.col(key)).select("seed", "source", "target", "kind", "confidence")
+        return found.where(F.col("distance") < hops).join(kept, F.col("node") == F.col(key)).select("seed", "source", "target", "kind", "confidence", evidence_of(kept).alias("evidence"))
 
     nodes = inbound.union(outbound).union(bridge).select("seed", "node").distinct()
     used = passed(inbound, depth, "target").union(passed(outbound, depth, "source")).union(passed(bridge, 2, "source", schema.BRIDGE_KINDS))
@@ -44,16 +58,20 @@ def neighbourhood(page: DataFrame, entities: DataFrame, edges: DataFrame, depth:
 
 
 def impact(entities: DataFrame, edges: DataFrame, name: str, operation: str, depth: int | None = None, limit: int = schema.DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    """One finding for each candidate on the page: the ids on its path, the least confidence, plane, severity."""
+    """One finding for each candidate on the page: the ids on its path, the least confidence, plane, severity, evidence.
+
+    Evidence is the candidate's own, then that of the edges passed, each once, in the order of file and line.
+    """
     depth = default_depth(operation) if depth is None else schema.clamp_depth(depth)
     page = candidates(entities, name, limit, offset)
     nodes, used = neighbourhood(page, entities, edges, depth)
     path = nodes.join(entities.select(F.col("id").alias("node")), "node", "left_semi").groupBy("seed").agg(F.array_sort(F.collect_set("node")).alias("path"))
-    least = used.groupBy("seed").agg(F.least(F.lit(1.0), F.min("confidence")).alias("confidence"), F.count("*").alias("edges_passed"))
+    least = used.groupBy("seed").agg(F.least(F.lit(1.0), F.min("confidence")).alias("confidence"), F.count("*").alias("edges_passed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("passed"))
     found = page.join(path, page.id == path.seed, "left").drop("seed").join(least, page.id == least.seed, "left").drop("seed")
     return found.select(
         "id", "kind", "name", "qualified_name", exprs.plane("kind").alias("plane"), F.lit("review_required").alias("severity"),
         F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("path", F.array("id")).alias("path"), F.coalesce("edges_passed", F.lit(0)).alias("edges_passed"),
+        F.concat(evidence_of(page), F.coalesce("passed", F.array().cast(EVIDENCE_LIST))).alias("evidence"),
     )
 
 
@@ -81,8 +99,9 @@ def relay(entities: DataFrame, edges: DataFrame, target_id: str, outbound: bool,
     peers = entities.select(F.col("id").alias(head), F.col("kind").alias("peer_kind"), F.col("qualified_name").alias("peer"), F.col("name").alias("peer_name"))
     joined = kept.join(peers, head, "left")
     return joined.select(
-        "source", "target", "kind", exprs.relay_edge_type("kind", "peer_kind").alias("edge_type"), exprs.relay_layer(F.coalesce("peer_kind", F.lit(""))).alias("layer"),
+        "source", "target", "kind", exprs.relay_edge_type("kind", "peer_kind").alias("edge_type"), F.when(F.col("peer_kind").isNull(), "custom:needs-review").otherwise(exprs.relay_layer("peer_kind")).alias("layer"),
         F.coalesce("peer", F.lit("")).alias("peer"), F.coalesce("peer_name", F.lit("")).alias("peer_name"), "confidence", exprs.tentative("classification", "confidence").alias("tentative"),
+        anchor_of(evidence_of(kept)).alias("anchor"), evidence_of(kept).alias("evidence"), (F.size(evidence_of(kept)) == 0).alias("needs_review"),
     )
 
 

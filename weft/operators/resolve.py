@@ -15,6 +15,8 @@ from weft.functions import exprs
 
 FULL, HALF_SURE, CALL, INJECTED, SUFFIX, EXACT, BOUND = 1.0, 0.7, 0.7, 0.5, 0.6, 0.95, 0.9
 WILDCARD = 0.6
+#: Key of an entity's metadata that holds its unresolved names; always the last one.
+AMBIGUOUS = "ambiguous_resolution"
 
 
 def edges(rows: DataFrame, source: Column | str, target: Column | str, kind: str, classification: str, confidence) -> DataFrame:
@@ -174,6 +176,32 @@ def same_file_calls(methods: DataFrame, invokes: DataFrame) -> DataFrame:
     return edges(found, "caller_id", "callee_id", "calls", "inferred", HALF_SURE)
 
 
+def with_evidence(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """The edges with their evidence: the rule, and where the entity stands that the edge leaves."""
+    first = F.get("evidence", F.lit(0))
+    places = entities.select(F.col("id").alias("source"), F.coalesce(first["file"], F.col("file")).alias("_file"), first["start_line"].alias("_start"), first["end_line"].alias("_end"), first["snippet"].alias("_snippet"))
+    made = F.struct(
+        F.col("_file").alias("file"), F.coalesce("_start", F.lit(0)).cast("int").alias("start_line"), F.coalesce("_end", "_start", F.lit(0)).cast("int").alias("end_line"), "classification",
+        F.col("confidence").cast("float").alias("confidence"), F.concat(F.lit("resolved across files: "), "kind").alias("reason"), F.col("_snippet").alias("snippet"),
+    )
+    return found.join(places, "source", "left").withColumn("evidence", F.array(made)).select(*found.columns, "evidence")
+
+
+def ambiguity(notes: DataFrame) -> DataFrame:
+    """(id, ambiguous): what could not be resolved for each holder, as a JSON list."""
+    listed = F.array_sort(F.collect_list(F.struct("kind", "name", "candidates")))
+    return notes.groupBy(F.col("holder").alias("id")).agg(F.to_json(listed).alias("ambiguous"))
+
+
+def with_ambiguity(entities: DataFrame, notes: DataFrame) -> DataFrame:
+    """The entities whose metadata say under AMBIGUOUS what could not be resolved; what an earlier scan said goes."""
+    bare = F.regexp_replace(F.coalesce("metadata", F.lit("{}")), f',?"{AMBIGUOUS}":\\[.*\\]\\}}$', "}")
+    head = F.regexp_replace(bare, r"\}\s*$", "")
+    added = F.concat(head, F.when(head.rlike(r"\{\s*$"), "").otherwise(","), F.lit(f'"{AMBIGUOUS}":'), F.col("ambiguous"), F.lit("}"))
+    found = entities.join(ambiguity(notes), "id", "left")
+    return found.withColumn("metadata", F.when(F.col("ambiguous").isNull(), F.when(F.col("metadata").isNotNull(), bare)).otherwise(added)).select(*entities.columns)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -11,7 +11,7 @@ from weft.operators import files as extraction
 from weft.operators import resolve, search, store
 from weft.sources import discover as discovery
 from weft.sources.config import Config
-from weft.sources.warehouse import Warehouse
+from weft.sources.warehouse import Warehouse, facts_of
 
 #: Rises when extraction changes, so that all files count as changed once.
 FORMAT = "f1:"
@@ -90,7 +90,7 @@ def embedded(entities: DataFrame, edges: DataFrame, before: DataFrame) -> DataFr
 def scan_files(spark: SparkSession, found: DataFrame, warehouse: Warehouse, config: Config | None = None) -> Summary:
     """Bring the warehouse up to date with a file table (path, kind, hash, content)."""
     config = config or Config()
-    found = found.withColumn("hash", F.concat(F.lit(FORMAT), "hash"))
+    found = found.withColumn("hash", F.concat(F.lit(FORMAT), "hash")).persist()  # the tree is read once
     diff = store.scan_diff(found, warehouse.table("file_state").select("path", "hash")).persist()
     counts = store.scan_summary(diff).first().asDict()
     changed = diff.where("status in ('added', 'changed')").select("path")
@@ -101,13 +101,17 @@ def scan_files(spark: SparkSession, found: DataFrame, warehouse: Warehouse, conf
     entities = store.upsert(keep("entity").select(*warehouse.table("entity").columns), extraction.entities_of(fine), ["id"])
     edges = store.upsert(keep("edge").select(*warehouse.table("edge").columns), extraction.edges_of(fine), store.EDGE_KEY)
     state = found.join(failed, "path", "left_anti").select("path", "hash", F.unix_timestamp().alias("indexed_at"))
-    warehouse.replace(entity=entities, edge=edges, file=found)
-    links, notes = resolved(warehouse.entities(), warehouse.facts())
-    vectors = embedded(warehouse.entities(), warehouse.facts(), warehouse.embeddings())
-    warehouse.replace(resolved=links, note=notes, embedding=vectors, file_state=state)
+    entities, edges = entities.persist(), edges.persist()
+    facts = facts_of(edges)
+    links, notes = resolved(entities, facts)
+    notes = notes.persist()
+    warehouse.replace(
+        entity=resolve.with_ambiguity(entities, notes), edge=edges, file=found, file_state=state, note=notes, resolved=resolve.with_evidence(links, entities),
+        embedding=embedded(entities, facts, warehouse.embeddings()),
+    )
     summary = Summary(**counts, failed=failed.count(), entities=warehouse.entities().count(), edges=warehouse.edges().count(), ambiguous=warehouse.table("note").count())
-    extracted.unpersist()
-    diff.unpersist()
+    for held in (notes, edges, entities, extracted, diff, found):
+        held.unpersist()
     return summary
 
 

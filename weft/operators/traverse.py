@@ -23,7 +23,7 @@ def oriented(edges: DataFrame, outbound: bool, kinds=()) -> DataFrame:
 
 def distances(seeds: DataFrame, edges: DataFrame, depth: int, outbound: bool = True, kinds=()) -> DataFrame:
     """(seed, node, distance) of all nodes within depth hops of the seeds (seed, node)."""
-    links = oriented(edges, outbound, kinds).distinct()
+    links = oriented(edges, outbound, kinds)  # repeated edges meet in each hop's minimum
     reached = seeds.select("seed", "node", F.lit(0).alias("distance")).distinct()
     for hop in range(depth):
         step = reached.join(links, (F.col("node") == F.col("tail")) & (F.col("distance") == hop), "left")

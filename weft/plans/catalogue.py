@@ -11,6 +11,8 @@ from weft import schema
 from weft.functions import exprs
 from weft.operators import extract, files, impact, resolve, search, sql_text, store, traverse
 from weft.plans.views import load, with_views
+from weft.sources import config as settings
+from weft.sources import discover
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -180,7 +182,7 @@ query("impact_bridge", ("syn_page_entity", "syn_page_edge"), """SELECT p.id, p.k
 )
 
 # relay
-_layer = grouped("t.kind", schema.RELAY_LAYERS, "infra")
+_layer = f"CASE WHEN t.kind IS NULL THEN 'custom:needs-review' ELSE {grouped('t.kind', schema.RELAY_LAYERS, 'infra')} END"
 _type = """CASE WHEN e.kind IN ('reads_table', 'reads_column', 'binds_to_statement') THEN 'db_read' WHEN e.kind IN ('writes_table', 'writes_column') THEN 'db_write'
  WHEN e.kind IN ('matches_endpoint', 'sends_http_request') OR (e.kind = 'exposes' AND t.kind = 'http_endpoint') THEN 'http_out' WHEN e.kind = 'mapped_from' THEN 'field_propagate' WHEN e.kind = 'calls' THEN 'call'
  WHEN e.kind = 'declares' THEN 'declares' WHEN e.kind = 'exposes' AND t.kind = 'spring_bean' THEN 'exposes' WHEN e.kind = 'injects' THEN 'inject'
@@ -255,8 +257,8 @@ query("binds_statement", (TYPES, METHODS), """SELECT DISTINCT m.id AS source, co
         m.select("owner_id", "name").distinct().join(t.select(F.col("id").alias("owner_id"), "file"), "owner_id").select(F.concat("owner_id", F.lit("/"), "name").alias("statement_id"), "name", F.regexp_replace(F.regexp_replace(F.regexp_replace("file", "^src/", ""), "\\.java$", ""), "/", ".").alias("namespace")),
     ))
 )
-query("intercepts_edges", (METHODS,), "SELECT a.id AS source, u.id AS target, 'intercepts' AS kind, CAST(0.5 AS DOUBLE) AS confidence FROM syn_method a JOIN (SELECT concat('m', seq) AS name, min(id) AS id FROM syn_method GROUP BY 1 HAVING count(*) = 1) u ON u.name = concat('m', a.seq + 1) WHERE a.seq % 10 = 0 AND a.id <> u.id")(
-    lambda m: out(resolve.intercepts(m.where("seq % 10 = 0").select("id", F.concat(F.lit("com.acme.Svc.m"), (F.col("seq") + 1)).alias("pointcut")), m.select("id", F.concat(F.lit("m"), "seq").alias("name"))))
+query("intercepts_edges", (METHODS,), "SELECT a.id AS source, u.id AS target, 'intercepts' AS kind, CAST(0.5 AS DOUBLE) AS confidence FROM syn_method a JOIN (SELECT concat('m', seq) AS name, min(id) AS id FROM syn_method GROUP BY 1 HAVING count(*) = 1) u ON u.name = concat('m', a.seq + 1) WHERE a.id <> u.id")(
+    lambda m: out(resolve.intercepts(m.select("id", F.concat(F.lit("com.acme.Svc.m"), (F.col("seq") + 1)).alias("pointcut")), m.select("id", F.concat(F.lit("m"), "seq").alias("name"))))
 )
 query("same_file_calls", (METHODS,), """SELECT a.id AS source, b.id AS target, 'calls' AS kind, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT owner_id, name, min(id) AS id FROM syn_method GROUP BY ALL HAVING count(*) = 1) a
  JOIN (SELECT owner_id, name, min(id) AS id FROM syn_method GROUP BY ALL HAVING count(*) = 1) b ON a.owner_id = b.owner_id AND a.name = 'm1' AND b.name = 'm2'""")(
@@ -392,6 +394,70 @@ query("extract_xml_statements", ("syn_sql", "syn_xml_source"), "SELECT path, sta
     lambda _, x: files.entities_of(extracted(x, "xml")).where("kind = 'xml_statement'").select(F.col("file").alias("path"), "name", *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("operation", "namespace", "sql")])
 )
 
+# rules on paths, ids and places
+_call = f"(SELECT page_id, {_norm('raw_path')} AS c, {_norm("regexp_extract(raw_path, '^/api(/.*)$', 1)")} AS e FROM syn_call)"
+query("segment_suffix", ("syn_call",), f"""SELECT page_id, len(e_) > 0 AND len(c_) - len(e_) BETWEEN 1 AND 3 AND c_[len(c_) - len(e_) + 1:] = e_ AS whole, len(e_) > 1 AND c_[3:] = e_[2:] AND len(c_) - len(e_) + 1 BETWEEN 1 AND 3 AS tail
+ FROM (SELECT page_id, list_filter(string_split(c, '/'), lambda x: x <> '') AS c_, list_filter(string_split(e, '/'), lambda x: x <> '') AS e_ FROM {_call})""")(
+    lambda c: c.select("page_id", exprs.normalize_path("raw_path").alias("c"), exprs.normalize_path(F.regexp_extract("raw_path", "^/api(/.*)$", 1)).alias("e")).select(
+        "page_id", exprs.suffix_aligned("c", "e").alias("whole"), exprs.suffix_aligned("c", F.array_join(F.slice(exprs.segments("e"), 2, 1000), "/")).alias("tail")
+    )
+)
+query("clamp", ("region",), "SELECT CAST(x AS BIGINT) AS x, CAST(greatest(1, least(x, 500)) AS BIGINT) AS limit_, CAST(greatest(0, least(x, 10)) AS BIGINT) AS depth FROM range(-3, 600) r(x)")(
+    lambda r: r.sparkSession.createDataFrame([(x, schema.clamp_limit(x), schema.clamp_depth(x)) for x in range(-3, 600)], "x long, limit_ long, depth long")
+)
+_PLACES = ("src/", "build/", "build/generated/sources/", "web/node_modules/", "target/x/", "lib/dist/", "a/build/generated/sources/")
+_place = "list_value(" + ", ".join(f"'{x}'" for x in _PLACES) + ")"
+_paths = f"(SELECT p_partkey, p_size, {_place}[p_size % 7 + 1] || replace(p_brand, '#', '') || CASE WHEN p_partkey % 3 = 0 THEN 'Test' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '.java' ELSE '.vue' END AS path FROM part)"
+
+
+def part_paths(p: DataFrame) -> DataFrame:
+    place = F.element_at(F.array(*[F.lit(x) for x in _PLACES]), F.col("p_size") % 7 + 1)
+    ending = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Test").otherwise(""), F.when(F.col("p_partkey") % 2 == 0, ".java").otherwise(".vue"))
+    return p.select("p_partkey", "p_size", F.concat(place, F.replace("p_brand", F.lit("#"), F.lit("")), ending).alias("path"))
+
+
+query("generated_allowed", ("part",), f"SELECT p_partkey, starts_with(path, 'build/generated/sources/') AS allowed FROM {_paths}")(lambda p: part_paths(p).select("p_partkey", exprs.generated_allowed("path", ["build/generated/sources/"]).alias("allowed")))
+query("discover_kept", ("part",), f"""SELECT p_partkey, path FROM {_paths} WHERE (NOT list_has_any(string_split(path, '/')[:-2], ['node_modules', 'target', 'build', 'dist', '.gradle', '.git', '.claude', '.weft']) OR starts_with(path, 'build/generated/sources/'))
+ AND NOT regexp_full_match(split_part(path, '/', -1), 'Brand[0-9]*Test[.]java')""")(
+    lambda p: part_paths(p).where(discover.kept(F.col("path"), settings.Config(excluded_patterns=("Brand*Test.java",)))).select("p_partkey", "path")
+)
+query("content_hash", ("documents",), "SELECT doc_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) <= 20000")(
+    lambda d: d.select("doc_id", F.encode("text", "utf-8").alias("content")).where(F.length("content") <= settings.Config(max_file_bytes=20000).max_file_bytes).select("doc_id", F.sha2("content", 256).alias("hash"))
+)
+query("extract_version_catalog", ("supplier",), "SELECT 'm' || s_suppkey || '/gradle/libs.versions.toml' AS path, 'libs.lib-' || s_nationkey AS alias, 'com.acme:n' || s_suppkey AS coordinate FROM supplier")(
+    lambda s: extract.version_catalog(s.select(F.concat(F.lit("m"), "s_suppkey", F.lit("/gradle/libs.versions.toml")).alias("path"), F.concat(F.lit('[versions]\nx = "1"\n[libraries.lib-'), "s_nationkey", F.lit(']\nmodule = "com.acme:n'), "s_suppkey", F.lit('"\nversion = "1"\n')).alias("content")))
+)
+query("trace_views", PG, "SELECT source, target, kind, CASE WHEN classification = 'fact' THEN false WHEN classification = 'resolved' THEN confidence < 0.8 ELSE true END AS tentative FROM pg_edge WHERE source IN (SELECT node FROM dist WHERE d < 2)", walk_sql(one("c:1"), 2, True))(
+    lambda e, g: from_one("c:1", 2, True)(e, g)[1].select(*EDGE_COLUMNS, exprs.tentative("classification", "confidence").alias("tentative"))
+)
+
+
+def proven(g: DataFrame) -> DataFrame:
+    """The edges with a piece of evidence each, from what they say."""
+    made = F.struct(F.col("source").alias("file"), F.lit(1).alias("start_line"), F.when(F.col("kind") == "calls", 3).otherwise(1).alias("end_line"), "classification", F.col("confidence").cast("float").alias("confidence"), F.col("kind").alias("reason"), F.lit("").alias("snippet"))
+    return g.withColumn("evidence", F.when(F.col("kind") != "declares", F.array(made)))
+
+
+_proof = "CASE WHEN kind = 'declares' THEN NULL ELSE source || ':' || kind END"
+_body, _walk = impact_sql(impact.default_depth("remove"))
+query("impact_evidence", PG, f"SELECT id, coalesce((SELECT string_agg(DISTINCT proof, ',' ORDER BY proof) FROM proof WHERE seed = page.id), '') AS evidence FROM page", _walk + f""", proof AS (SELECT seed, {_proof} AS proof FROM do_ JOIN pg_edge ON source = node WHERE d < {impact.default_depth('remove')}
+ UNION ALL SELECT seed, {_proof} FROM di JOIN pg_edge ON target = node WHERE d < {impact.default_depth('remove')})""")(
+    lambda e, g: impact.impact(e, proven(g), e.where("kind in ('field', 'table')").agg(F.min("name")).first()[0], "remove").select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", lambda x: F.concat_ws(":", x["file"], x["reason"])))), ",").alias("evidence"))
+)
+query("relay_anchor", PG, """SELECT source, target, kind, CASE WHEN kind = 'declares' THEN '{"needs_review":"no evidence recorded"}' WHEN kind = 'calls' THEN '{"file":"' || source || '","line":[1,3]}' ELSE '{"file":"' || source || '","line":1}' END AS anchor, kind = 'declares' AS needs_review
+ FROM pg_edge WHERE kind IN (""" + quoted(schema.RELAY_KINDS) + ") AND source IN (SELECT node FROM dist WHERE d < 2)", walk_sql(one("n:3"), 2, True, schema.RELAY_KINDS))(
+    lambda e, g: impact.relay(e, proven(g), "n:3", True, 2).select("source", "target", "kind", "anchor", "needs_review")
+)
+query("resolved_evidence", (TYPES,), "SELECT u.id AS source, t.id AS target, u.file AS file, CAST(1.0 AS DOUBLE) AS confidence, 'resolved across files: superclass_of' AS reason FROM (SELECT DISTINCT id, kind, superclass FROM syn_type) t JOIN (SELECT a.id, a.name, a.file FROM syn_type a JOIN uclass ON uclass.id = a.id) u ON t.superclass = u.name WHERE t.kind = 'class' AND u.id <> t.id", _uclass)(
+    lambda t: resolve.with_evidence(resolve.superclass(t), t.select("id", "file", F.lit(None).cast(impact.EVIDENCE_LIST).alias("evidence"))).select("source", "target", F.col("evidence")[0]["file"].alias("file"), F.col("evidence")[0]["confidence"].cast("double").alias("confidence"), F.col("evidence")[0]["reason"].alias("reason"))
+)
+query("ambiguous_metadata", (TYPES,), "SELECT t.id, '{\"kind\":\"' || t.kind || '\"' || CASE WHEN c.name IS NULL THEN '' ELSE ',\"ambiguous_resolution\":[{\"kind\":\"superclass\",\"name\":\"' || t.superclass || '\",\"candidates\":[' || c.files || ']}]' END || '}' AS metadata FROM syn_type t LEFT JOIN (SELECT name, string_agg(DISTINCT '\"' || file || '\"', ',' ORDER BY '\"' || file || '\"') AS files FROM syn_type GROUP BY name HAVING count(*) > 1) c ON c.name = t.superclass")(
+    lambda t: resolve.with_ambiguity(
+        t.select("id", F.concat(F.lit('{"kind":"'), "kind", F.lit('","ambiguous_resolution":[{"old":[1]}]}')).alias("metadata")), resolve.notes(t.where("superclass is not null").select(F.col("id").alias("holder"), F.col("superclass").alias("name")), t, "superclass")
+    )
+)
+
+
 # similarity
 _query_vector = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import sys
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import schema
+from weft.functions import exprs
 from weft.operators import impact, scan, search, traverse
 from weft.sources import config as settings
 from weft.sources.warehouse import Warehouse
@@ -31,9 +33,59 @@ def failure(message: str) -> dict:
     return {"protocol_version": VERSION, "status": "error", "error": {"message": message}}
 
 
+def anchor(evidence) -> dict:
+    """Where an entity stands: file and line, or first and last line."""
+    if not evidence:
+        return {"needs_review": "no evidence recorded"}
+    first = evidence[0]
+    return {"file": first.file, "line": [first.start_line, first.end_line] if first.end_line and first.end_line > first.start_line else first.start_line}
+
+
+#: Arguments by names that clients also use.
+OTHER_NAMES = {"from": "name", "workspace": "path"}
+WHOLE, NUMBER, TEXT = {"type": "integer", "minimum": 0}, {"type": "number", "minimum": 0, "maximum": 1}, {"type": "string"}
+#: What an argument takes, by its name; all others are texts.
+ARGUMENTS = {
+    "limit": {"type": "integer", "minimum": 1, "maximum": schema.MAX_LIMIT, "default": schema.DEFAULT_LIMIT}, "offset": WHOLE | {"default": 0}, "depth": WHOLE | {"maximum": schema.MAX_DEPTH, "default": 2},
+    "min_confidence": NUMBER | {"default": 0.0}, "verbose": {"type": "boolean", "default": False}, "operation": TEXT | {"enum": list(schema.CHANGE_OPERATIONS)},
+    "kind": {"type": "array", "items": TEXT | {"enum": list(schema.ENTITY_KINDS)}}, "to_kind": TEXT | {"enum": list(schema.ENTITY_KINDS)}, "edge_kinds": {"type": "array", "items": TEXT | {"enum": list(schema.EDGE_KINDS)}},
+    "direction": TEXT, "repository": TEXT | {"default": "default"},
+}
+#: What differs by tool.
+TOOL_ARGUMENTS = {
+    "trace_callers": {"edge_kinds": {"default": list(schema.TRACE_KINDS)}}, "trace_callees": {"edge_kinds": {"default": list(schema.TRACE_KINDS)}},
+    "trace_full_path": {"edge_kinds": {"default": list(schema.FULL_PATH_KINDS)}, "direction": {"enum": ["outbound", "inbound"], "default": "outbound"}},
+    "trace_table_access": {"direction": {"enum": ["read", "write", "both"], "default": "both"}}, "build_relay_doc": {"depth": {"default": 1}}, "semantic_search": {"query": {"description": "words whose meaning is looked for"}},
+}
+OBJECTS, FLAG = {"type": "array", "items": {"type": "object"}}, {"type": "boolean"}
+PAGE = {"limit": WHOLE, "offset": WHOLE, "has_more": FLAG}
+#: What a tool's data hold.
+RESULTS = {
+    **dict.fromkeys(("search_entities", "find_endpoint", "analyze_requirement"), {"items": OBJECTS, "hint": TEXT} | PAGE), "semantic_search": {"items": OBJECTS, "hint": TEXT},
+    **dict.fromkeys(("trace_callers", "trace_callees", "trace_table_access", "trace_full_path"), {"items": OBJECTS, "edges": OBJECTS, "hint": TEXT} | PAGE),
+    "analyze_change": {"findings": OBJECTS, "open_questions": {"type": "array", "items": TEXT}, "total": WHOLE} | PAGE,
+    "verify_edge": {"file": TEXT, "match_count": WHOLE, "lines": {"type": "array"}, "hint": TEXT}, "list_repositories": {"repositories": OBJECTS},
+    "build_relay_doc": {"target": {"type": "object"}, "inbound": OBJECTS, "outbound": OBJECTS, "inbound_has_more": FLAG, "outbound_has_more": FLAG, "related": {"type": "object"}, "limit": WHOLE, "offset": WHOLE},
+    **dict.fromkeys(("scan_workspace", "show_system_view", "get_index_status"), {"entities_by_kind": {"type": "object"}}),
+}
+
+
+def described(name: str, tool: Callable) -> dict:
+    """A tool's entry in the list of tools, its arguments read from its signature (or from that of the tool it passes them to)."""
+    parameters = dict(inspect.signature(tool).parameters)
+    if any(p.kind is p.VAR_KEYWORD for p in parameters.values()):
+        parameters = {k: p for k, p in inspect.signature(Service.search_entities).parameters.items() if k not in ("self", "query", "kind")} | {k: p for k, p in parameters.items() if p.kind is not p.VAR_KEYWORD}
+    more = TOOL_ARGUMENTS.get(name, {})
+    properties = {k: ARGUMENTS.get(k, TEXT) | more.get(k, {}) for k in parameters}
+    required = [k for k, p in parameters.items() if p.default is p.empty]
+    data = {"type": "object", "properties": RESULTS[name]}
+    out = {"type": "object", "properties": {"protocol_version": TEXT, "status": TEXT | {"enum": ["ok", "error"]}, "data": data, "error": {"type": "object"}}, "required": ["protocol_version", "status"]}
+    return {"name": name, "description": (tool.__doc__ or name.replace("_", " ")).strip(), "inputSchema": {"type": "object", "properties": properties, "required": required, "additionalProperties": False}, "outputSchema": out}
+
+
 class Service:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, config: settings.Config | None = None):
+        self.spark, self.root, self.config = spark, root, config or settings.Config()
         self.tools: dict[str, Callable[..., dict]] = {
             "scan_workspace": self.scan_workspace, "search_entities": self.search_entities, "find_endpoint": self.find_endpoint, "semantic_search": self.semantic_search,
             "analyze_change": self.analyze_change, "analyze_requirement": self.analyze_requirement, "trace_callers": self.trace_callers, "trace_callees": self.trace_callees,
@@ -55,7 +107,7 @@ class Service:
         return summary | {"entities_by_kind": {r.kind: r.n for r in search.counts_by_kind(w.entities()).collect()}}
 
     def search_entities(self, query: str, limit: int | None = None, offset: int = 0, kind=(), verbose: bool = False, repository: str = "default") -> dict:
-        w, n = self.warehouse(repository), schema.clamp_limit(limit)
+        w, n = self.warehouse(repository), schema.clamp_limit(limit, min(schema.DEFAULT_LIMIT, self.config.search_limit))
         found = rows(search.search(w.entities(), query, n + 1, offset, kind).select(*BRIEF, F.size("evidence").alias("evidence_count"), *(["metadata", "evidence"] if verbose else [])))
         return {"items": found[:n], "has_more": len(found) > n, "limit": n, "offset": offset} | self._hint(found, w)
 
@@ -73,8 +125,9 @@ class Service:
         top = search.top_similar(w.embeddings(), vector, schema.clamp_limit(limit)).select("id", "score")
         return {"items": rows(w.entities().select(*BRIEF).join(F.broadcast(top), "id").orderBy(F.desc("score"), "id"))}  # at most MAX_LIMIT rows
 
-    def analyze_change(self, name: str, operation: str = "rename", depth: int | None = None, limit: int | None = None, offset: int = 0, repository: str = "default") -> dict:
-        w, n = self.warehouse(repository), schema.clamp_limit(limit)
+    def analyze_change(self, name: str, operation: str = "rename", target_kind: str | None = None, to: str | None = None, depth: int | None = None, limit: int | None = None, offset: int = 0, repository: str = "default") -> dict:
+        """What a change of the entities of a name reaches; target_kind and to describe the change and do not narrow it."""
+        w, n = self.warehouse(repository), schema.clamp_limit(limit, self.config.impact_limit)
         total = search.exact_name(w.entities(), name, schema.SEARCH_CAP).count()
         found = rows(impact.impact(w.entities(), w.edges(), name, operation, depth, n, offset))
         questions = impact.open_questions(total, len(found), [f["kind"] for f in found], not w.entities().isEmpty())
@@ -85,7 +138,8 @@ class Service:
         if to_kind:
             schema.check_kinds(to_kind)
         entities, edges = traverse.trace(w.entities(), w.edges(), name, schema.clamp_depth(depth), kinds, outbound, to_kind, max(0.0, min(1.0, min_confidence)), n + 1, offset)
-        items, links = rows(entities.select(*BRIEF, "distance")), rows(edges)
+        views = edges.select("source", "target", "kind", "classification", "confidence", exprs.tentative("classification", "confidence").alias("tentative"), F.size("evidence").alias("evidence_count"))
+        items, links = rows(entities.select(*BRIEF, "distance")), rows(views)
         return {"items": items[:n], "edges": links[:n], "has_more": len(items) > n or len(links) > n, "limit": n, "offset": offset} | self._hint(items, w)
 
     def trace_callers(self, name: str, depth=None, edge_kinds=None, min_confidence: float = 0.0, limit=None, offset: int = 0, repository: str = "default") -> dict:
@@ -124,21 +178,29 @@ class Service:
         names = sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
         return {"repositories": [{"repository": n} | self.get_index_status(n) for n in names]}
 
-    def build_relay_doc(self, qn: str, depth: int | None = None, repository: str = "default") -> dict:
-        w = self.warehouse(repository)
+    def build_relay_doc(self, qn: str, depth: int | None = None, limit: int | None = None, offset: int = 0, verbose: bool = False, repository: str = "default") -> dict:
+        """The hand-off document around one entity: edges with anchors at both sides, a page of each."""
+        w, n = self.warehouse(repository), schema.clamp_limit(limit)
         target = w.entities().where(F.col("qualified_name") == qn).orderBy("id").first()
         if target is None:
             raise ValueError(f"no entity has the qualified name {qn}")
         depth = schema.clamp_depth(depth, 1)
-        around = {way: rows(impact.relay(w.entities(), w.edges(), target.id, way == "outbound", depth).orderBy("source", "target", "kind").limit(schema.MAX_LIMIT)) for way in ("inbound", "outbound")}
-        return {"target": {k: target[k] for k in BRIEF}, **around, "related": {"homonyms": rows(impact.homonyms(w.entities(), target.id).select(*BRIEF))}}
+        around = {}
+        for way in ("inbound", "outbound"):
+            found = impact.relay(w.entities(), w.edges(), target.id, way == "outbound", depth).orderBy("source", "target", "kind").offset(offset).limit(n + 1)
+            found = rows(found if verbose else found.drop("evidence"))
+            around[way] = [x | {"anchor": json.loads(x["anchor"])} for x in found[:n]]
+            around[f"{way}_has_more"] = len(found) > n
+        review = "custom:needs-review"  # what the graph does not know
+        about = {k: target[k] for k in BRIEF} | {"anchor": anchor(target.evidence), "bean": review, "interface": review, "business": review}
+        return {"target": about, **around, "limit": n, "offset": offset, "related": {"homonyms": rows(impact.homonyms(w.entities(), target.id).select(*BRIEF))}}
 
     def call(self, tool: str, arguments: dict) -> dict:
         """The tool's envelope; whatever fails in a tool becomes an error envelope."""
         try:
             if tool not in self.tools:
                 raise ValueError(f"unknown tool: {tool}")
-            return envelope(self.tools[tool](**arguments))
+            return envelope(self.tools[tool](**{OTHER_NAMES.get(k, k): v for k, v in arguments.items()}))
         except Exception as error:
             return failure(f"{type(error).__name__}: {error}")
 
@@ -158,7 +220,7 @@ def answer(service: Service, line: str) -> dict | None:
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": n, "description": (f.__doc__ or n).strip()} for n, f in service.tools.items()]}}
+        return reply | {"result": {"tools": [described(n, f) for n, f in service.tools.items()]}}
     if method == "tools/call":
         found = service.call(params.get("name", ""), params.get("arguments") or {})
         return reply | {"result": {"content": [{"type": "text", "text": json.dumps(found, default=str)}], "structuredContent": found, "isError": found["status"] == "error"}}
