@@ -20,7 +20,7 @@ those down to that of the shortest line within the threshold, so no shifted wind
 Lines that meet are compared by length, words and counts of letters; the pairs left are verified by Spark's banded edit
 distance with the pair's own threshold: in column functions the bit-parallel form takes 2k + 1 steps a character there. Where
 more than BUCKET lines have a segment, they are dealt by length, in cells as wide as their largest threshold, and a full cell
-in blocks, each of which meets the lines of its own and the next cells; there a pair is verified in the join itself, and in
+in blocks, each of which meets the lines of its own and the next cell; there a pair is verified in the join itself, and in
 the first segment only that it shares.
 
 Defined cases: null text is empty; rows of one doc_id and one text count as one document, so they keep the same lines; a
@@ -39,7 +39,7 @@ WORDS_PER_EDIT = 12
 MIN_CHARS = 20
 BUCKET = 64
 #: Lines of a hot bucket's cell that one block holds.
-BLOCK = 1024
+BLOCK = 512
 #: Blanks that end a segment: those after a character of about every second code.
 CUTS = r"(?<=[!#%')+\-/13579;=?ACEGIKMOQSUWYacegikmoqsuwy]) "
 #: Lengths of one cell of the index differ by less than this ratio.
@@ -183,12 +183,11 @@ def length_cell(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(CELL_RATIO))).cast("int")
 
 
-def prefix_rows(df: DataFrame, level: int) -> DataFrame:
-    """(h1, level, segment, bucket) of (h1, size, edits, prefix): the segments under the length cells of the line."""
+def bucketed(prefixes: DataFrame) -> DataFrame:
+    """(h1, level, segment, bucket) of (h1, level, size, edits, prefix): the segments under the length cells of the line."""
     shorter = F.sequence(length_cell(F.col("size") - F.col("edits")), length_cell(F.col("size")))
-    each = F.flatten(F.transform(shorter, lambda c: F.transform("prefix", lambda e: F.struct(e.alias("segment"), F.xxhash64(F.lit(level), c, e).alias("bucket")))))
-    # explode_outer: for explode the optimizer would add a filter that computes the segments a second time
-    return df.select("h1", F.lit(level).alias("level"), F.explode_outer(each).alias("e")).select("h1", "level", "e.*")
+    each = prefixes.select("h1", "level", "prefix", F.explode(shorter).alias("cell")).select("h1", "level", "cell", F.explode("prefix").alias("segment"))
+    return each.select("h1", "level", "segment", F.xxhash64("level", "cell", "segment").alias("bucket"))
 
 
 def segment_key(segment: Column, *more: Column) -> Column:
@@ -205,23 +204,25 @@ def prefix(segments: Column) -> Column:
     return F.slice(F.sort_array(segments), F.lit(1), 2 * F.col("edits") + 1)
 
 
-def far_rows(lines: DataFrame) -> DataFrame:
-    """(h1, level, segment, bucket) of the lines (h1, h2, line, size, edits): lines within their threshold share a bucket."""
+def far_prefixes(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h1, level, size, edits, prefix) of the lines (h1, h2, line, size, edits): the segments each is indexed under."""
     cut = lines.withColumn("segments", segments(F.col("line")))
-    rows = prefix_rows(cut.withColumn("prefix", prefix(F.col("segments"))), 1)
+    few = F.size("segments") <= 2 * F.col("edits")
+    cut = scratch(cut.select("h1", "h2", F.lit(1).alias("level"), "size", "edits", prefix(F.col("segments")).alias("prefix"), F.when(few, F.col("line")).alias("line")), "far-segments")
     # a line with too few segments is cut at every blank as well, and equal words are numbered
-    words = cut.where(F.size("segments") <= 2 * F.col("edits")).select("h1", "h2", "size", "edits", F.explode(F.split("line", " ", -1)).alias("word"))
+    words = cut.where("line is not null").dropDuplicates(["h1", "h2"]).select("h1", "h2", "size", "edits", F.explode(F.split("line", " ", -1)).alias("word"))
     counted = words.groupBy("h1", "h2", "size", "edits", "word").agg(F.count("*").cast("int").alias("n"))
     times = F.least("n", 2 * F.col("edits") + 1)  # more of one word than the prefix holds are not needed
     keys = F.transform(F.sequence(F.lit(1), times), lambda i: segment_key(F.col("word"), i))
     numbered = counted.select("h1", "h2", "size", "edits", keys.alias("keys")).groupBy("h1", "h2", "size", "edits").agg(F.flatten(F.collect_list("keys")).alias("segments"))
-    return rows.union(prefix_rows(numbered.withColumn("prefix", prefix(F.col("segments"))), 2))
+    numbered = scratch(numbered.select("h1", F.lit(2).alias("level"), "size", "edits", prefix(F.col("segments")).alias("prefix")), "far-words")
+    return cut.select(*numbered.columns).union(numbered)
 
 
 def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFrame:
     """(x1, x2, y1, y2) of the different lines (h1, h2, line, n_words; repeats are allowed) within a threshold over 1."""
     lines = lines.where(F.col("n_words") >= 2 * words_per_edit).withColumns({"size": F.length("line"), "edits": F.floor(F.col("n_words") / words_per_edit).cast("int")})
-    rows = far_rows(lines)
+    rows = bucketed(far_prefixes(lines, scratch))
     live = rows.groupBy("bucket").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least != most").select("bucket")
     live = scratch(live, "far-buckets")
     rows = scratch(rows.join(sized_broadcast(live), "bucket", "left_semi").distinct(), "far-rows")
@@ -237,11 +238,12 @@ def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFr
         default = lambda c: F.lit("") if c == "line" else F.array().cast("array<long>") if c == "prefix" else F.lit(0)  # noqa: E731  none is null, and so Spark knows
         return [side.select(*[c for c in ("bucket", "cell", "block") if c in side.columns], *[F.coalesce(c, default(c)).alias(f"{s}_{c}") for c in columns]) for s, side in (("x", x), ("y", y))]
 
-    smaller = (F.col("x_h1") < F.col("y_h1")) | ((F.col("x_h1") == F.col("y_h1")) & (F.col("x_h2") < F.col("y_h2")))
+    # x is the shorter line, or of equal ones that with the smaller hashes
+    smaller = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & ((F.col("x_h1") < F.col("y_h1")) | ((F.col("x_h1") == F.col("y_h1")) & (F.col("x_h2") < F.col("y_h2")))))
     edits = F.least("x_edits", "y_edits")
-    meets = smaller & (F.abs(F.col("x_size") - F.col("y_size")) <= edits) & letters_allow(edits)
-    # a line that goes on from another needs no matrix: their lengths are known to be close
-    within = lambda k: F.expr(f"startswith(x_line, y_line) or startswith(y_line, x_line) or levenshtein(x_line, y_line, {k}) >= 0")
+    meets = (F.col("y_size") - F.col("x_size") <= edits) & smaller & letters_allow(edits)
+    # a line that goes on from another, or leads up to it, needs no matrix: their lengths are known to be close
+    within = lambda k: F.expr(f"startswith(y_line, x_line) or endswith(y_line, x_line) or levenshtein(x_line, y_line, {k}) >= 0")
     pair = [F.col("x_h1").alias("x1"), F.col("x_h2").alias("x2"), F.col("y_h1").alias("y1"), F.col("y_h2").alias("y2")]
 
     few = rows.join(hot, "bucket", "left_anti").select("bucket", "h1").join(texts.drop("line"), "h1")
@@ -258,7 +260,7 @@ def far_pairs(lines: DataFrame, scratch: Scratch, words_per_edit: int) -> DataFr
     blocks = many.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = sized_broadcast(scratch(blocks, "far-blocks"))
     x = many.join(blocks, ["bucket", "cell"]).withColumn("block", F.pmod("h2", "blocks"))
-    y = many.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).join(blocks, ["bucket", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = many.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell")))).join(blocks, ["bucket", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = sides(x, y, "line", "level", "segment", "prefix")
     once = F.get(F.array_intersect("x_prefix", "y_prefix"), F.lit(0)) == F.col("x_segment")
     met = x.join(y, ["bucket", "cell", "block"]).where(meets & (F.col("x_level") == F.col("y_level")) & (F.col("x_segment") == F.col("y_segment")) & once & within("least(x_edits, y_edits)"))
