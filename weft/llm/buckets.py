@@ -22,7 +22,7 @@ BUCKET_BYTES = 16 << 20
 
 def how_many(df: DataFrame) -> int:
     """Buckets for what is sent from df: two for each shuffle partition, more where these would grow too large."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # else Spark has no statistics
     return min(max(2 * shuffle_width(df.sparkSession), size // BUCKET_BYTES if known else 0), 1 << 30)
 
