@@ -405,6 +405,19 @@ def test_jaccard_join_edges(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e f"), (None, "other words are in here")], "doc_id long, text string")
     assert Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect()) == Counter([(5, 5), (5, 5), (None, 5), (9, 5), (None, None)])
+    nameless = spark.createDataFrame([(None, f"{x} b c d e f g h i j k l m n o p q r s t u v w x y z") for x in "a1"] + [(7, "1 b c d e f g h i j k l m n o p q r s t u v w x y z 2")], "doc_id long, text string")
+    assert [r.component_id for r in ngram_join.near_duplicates(nameless).collect()] == [7] * 3  # links of texts without an id count
+
+
+def test_one_of_each_keeps_a_row_of_each_component(spark):
+    texts = ["a b c d e f", "a b c d e f", "other words are all in here", "A b c d e f"]
+    rows = [(5, texts[0], "x"), (5, texts[0], "y"), (None, texts[0], "z"), (9, texts[3], "x"), (9, texts[2], "x"), (None, None, "n"), (4, "", "n"), (4, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    found = sorted(((r.doc_id or 0, r.text or "") for r in got.collect()))
+    assert found == [(0, ""), (4, ""), (4, ""), (5, texts[0]), (9, texts[2])]
+    assert ngram_join.one_of_each(empty(spark)).count() == 0
 
 
 def test_tree_keeps_one_large_group_cheap():
