@@ -5,6 +5,11 @@ cross-colour, subtract-green and palette transforms. Where one group of codes se
 symbol at every bit offset at once in numpy, then follows the chain of offsets that are in use; only back-references and
 cached colours are replayed one by one.
 
+The encoder writes literals under one code for the three channels, which is fast to read back. Where half of a payload's
+pixels may repeat earlier ones, or its colours are few, it also tries back-references, alone, with a colour cache, and for up
+to 16 colours with a palette of bundled pixels, and the smallest file is kept. Predictor, cross-colour and subtract-green transforms never made a
+text smaller and are not written; they are decoded in files of others.
+
 Payloads are images of 64 RGB pixels (192 bytes) a row. A payload of more than MAX_ROWS rows is several images, one after
 the other; each begins with its own length, so the bytes can be cut again.
 
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 MAX_ROWS = 16383
+#: Pixels of the shortest and the longest back-reference that is written, and the share of pixels that must repeat earlier ones.
+LEAST, MOST, SHARE = 3, 4096, 0.5
+#: Pixels for each colour from which an image counts as one of few colours.
+FEW = 32
 
 # Fixed values of the format (RFC 9649): order of code-length codes, extra bits of repeats, and the pixel
 # offsets (x, y) that distance codes 1 to 120 stand for.
@@ -243,8 +252,11 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             back = _distance(_prefixed(distances.next(bits), bits), width)
             if back > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + length):
-                out[i] = out[i - back]
+            done = 0
+            while done < length:  # what is copied may overlap what is written; then it doubles
+                step = min(length - done, back + done)
+                out[at + done : at + done + step] = out[at - back : at - back + step]
+                done += step
             at += length
         else:
             while cached < at:  # the cache is brought up to date only when it is read
@@ -467,7 +479,139 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
 
 
-def encode_rows(samples: np.ndarray) -> bytes:
+def prefixed(value: int) -> tuple[int, int, int]:
+    """(symbol, extra bits, their number) of a length or distance code."""
+    if value <= 4:
+        return value - 1, 0, 0
+    high = (value - 1).bit_length() - 1
+    extra = high - 1
+    return 2 * high + ((value - 1) >> extra & 1), (value - 1) & ((1 << extra) - 1), extra
+
+
+_near: dict[int, dict[int, int]] = {}
+
+
+def distance_code(distance: int, width: int) -> int:
+    """The shortest code: of a pixel near by, or of the distance itself."""
+    if width not in _near:
+        _near[width] = {}
+        for i, (x, y) in enumerate(OFFSETS):
+            _near[width].setdefault(max(1, x + y * width), i + 1)
+    return _near[width].get(distance, distance + len(OFFSETS))
+
+
+def copies(pixels: np.ndarray) -> list[tuple[int, int, int]] | None:
+    """(at, length, distance) of the parts that repeat earlier pixels, greedily; None where less than SHARE of them may."""
+    n = len(pixels)
+    if n < LEAST + 1:
+        return None
+    wide = pixels.astype(np.uint64)
+    key = np.zeros(n - LEAST + 1, np.uint64)
+    for i in range(LEAST):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + wide[i : n - LEAST + 1 + i]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if np.count_nonzero(same) < SHARE * n:
+        return None
+    before = np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
+    starts = np.flatnonzero(before >= 0).tolist()
+    out, at = [], 0
+    for i in starts:
+        if i < at:
+            continue
+        j = int(before[i])
+        end = min(n, i + MOST)
+        differ = pixels[i:end] != pixels[j : j + end - i]
+        length = int(differ.argmax()) if differ.any() else end - i
+        if length >= LEAST:
+            out.append((i, length, i - j))
+            at = i + length
+    return out
+
+
+def entropy_coded(pixels: np.ndarray, width: int, top: bool, parts: list[tuple[int, int, int]], cache_bits: int) -> tuple[list[int], list[int]]:
+    """(values, widths) of the pixels' bits: prefix codes, then literals, cached colours and back-references."""
+    cache: dict[int, int] = {}
+    slots = (pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits) if cache_bits else None
+    colours, slots = pixels.tolist(), slots.tolist() if cache_bits else []
+    tokens, at = [], 0  # (green symbol, red, blue, extra, bits, distance symbol, extra, bits)
+    for begin, length, distance in [*parts, (len(colours), 0, 0)]:
+        for i in range(at, begin):
+            colour = colours[i]
+            if cache_bits and cache.get(slots[i]) == colour:
+                tokens.append((LITERALS + LENGTHS + slots[i], -1, -1, 0, 0, -1, 0, 0))
+            else:
+                tokens.append((colour >> 8 & 255, colour >> 16 & 255, colour & 255, 0, 0, -1, 0, 0))
+            if cache_bits:
+                cache[slots[i]] = colour
+        if length:
+            symbol, extra, bits = prefixed(length)
+            tokens.append((LITERALS + symbol, -1, -1, extra, bits, *prefixed(distance_code(distance, width))))
+            if cache_bits:
+                cache.update(zip(slots[begin : begin + length], colours[begin : begin + length], strict=True))
+        at = begin + length
+    x = np.array(tokens)
+    counts = [np.bincount(x[:, i][x[:, i] >= 0], minlength=size) for i, size in ((0, LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)), (1, 256), (2, 256), (5, DISTANCES))]
+    lengths = [code_lengths(c, 12) for c in counts]
+    words = [codewords(v) if np.count_nonzero(v) > 1 else np.zeros(len(v), np.int64) for v in lengths]
+    lengths = [v if np.count_nonzero(v) > 1 else np.zeros(len(v), np.int64) for v in lengths]
+    fields = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
+    fields += [(0, 1)] * top
+    green, red, blue, distances = (code_fields(code_lengths(c, 12)) for c in counts)
+    fields += [*green, *red, *blue, (1, 1), (0, 1), (1, 1), (255, 8), *distances]
+    put_symbol = lambda i, column: (np.where(x[:, column] >= 0, words[i][x[:, column]], 0), np.where(x[:, column] >= 0, lengths[i][x[:, column]], 0))
+    order = [put_symbol(0, 0), put_symbol(1, 1), put_symbol(2, 2), (x[:, 3], x[:, 4]), put_symbol(3, 5), (x[:, 6], x[:, 7])]
+    values, widths = (np.stack([o[k] for o in order], axis=1).ravel() for k in (0, 1))
+    used = widths > 0
+    return [f[0] for f in fields] + values[used].tolist(), [f[1] for f in fields] + widths[used].tolist()
+
+
+def encode_repeats(samples: np.ndarray) -> bytes | None:
+    """A file with back-references, and a colour cache or a palette where they make it smaller; None for few repeats of many colours."""
+    height, width, _ = samples.shape
+    wide = samples.astype(np.uint32)
+    pixels = (0xFF000000 | wide[..., 0] << 16 | wide[..., 1] << 8 | wide[..., 2]).astype(np.uint32)
+    parts = copies(pixels.ravel())
+    table, index = np.unique(pixels, return_inverse=True)
+    if parts is None and len(table) * FEW > pixels.size:
+        return None
+    parts = parts or []
+    size = [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)]
+    found = []
+    for cache_bits in (0, 4, 7):
+        values, widths = entropy_coded(pixels.ravel(), width, True, parts, cache_bits)
+        found.append(([f[0] for f in size] + [0] + values, [f[1] for f in size] + [1] + widths))
+    if len(table) <= 16:
+        bundle = bundle_bits(len(table))
+        per, depth = 1 << bundle, 8 >> bundle
+        now = -(-width // per)
+        index = np.pad(index.reshape(height, width), ((0, 0), (0, now * per - width))).reshape(height, now, per)
+        packed = (index << (np.arange(per) * depth)).sum(axis=2).astype(np.uint32)
+        bundled = (np.uint32(0xFF000000) | packed << np.uint32(8)).ravel()
+        deltas = _join(np.diff(_split(table), axis=0, prepend=np.zeros((1, 4), np.int32)))
+        # the palette's pixels are deltas of alpha too, so theirs are written as literals with an alpha code
+        head = palette_fields(deltas)
+        values, widths = entropy_coded(bundled, now, True, copies(bundled) or [], 0)
+        fields = [*size, (1, 1), (PALETTE, 2), (len(table) - 1, 8), *head, (0, 1)]
+        found.append(([f[0] for f in fields] + values, [f[1] for f in fields] + widths))
+    return min((container(put(np.array(v), np.array(w))) for v, w in found), key=len)
+
+
+def palette_fields(deltas: np.ndarray) -> list[tuple[int, int]]:
+    """The palette's differences as literals under four codes."""
+    parts = _split(deltas)
+    columns = [parts[:, i] for i in (2, 1, 3, 0)]  # green, red, blue, alpha
+    lengths = [code_lengths(np.bincount(c, minlength=256), 12) for c in columns]
+    fields = [(0, 1), *[f for v in lengths for f in code_fields(v)], (1, 1), (0, 1), (0, 1), (0, 1)]
+    several = [np.count_nonzero(v) > 1 for v in lengths]
+    words = [codewords(v) if m else None for v, m in zip(lengths, several, strict=True)]
+    for row in zip(*columns, strict=True):
+        fields += [(int(w[v]), int(n[v])) for v, w, n, m in zip(row, words, lengths, several, strict=True) if m]
+    return fields
+
+
+def encode_literals(samples: np.ndarray) -> bytes:
     """A file of RGB rows (height, width, 3): literals under one code for the three channels."""
     height, width, _ = samples.shape
     order = samples[..., [1, 0, 2]].ravel()
@@ -480,6 +624,12 @@ def encode_rows(samples: np.ndarray) -> bytes:
     return container(put(np.concatenate((head[:, 0], codewords(lengths)[order])), np.concatenate((head[:, 1], lengths[order]))))
 
 
+def encode_rows(samples: np.ndarray) -> bytes:
+    """The smaller of a file of literals and, where enough pixels repeat, one that refers back."""
+    plain, other = encode_literals(samples), encode_repeats(samples)
+    return other if other is not None and len(other) < len(plain) else plain
+
+
 def store(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, CHANNELS)
     return b"".join(encode_rows(rows[i : i + MAX_ROWS]) for i in range(0, len(rows), MAX_ROWS))
