@@ -279,6 +279,40 @@ def test_webp_many_rows():
     assert webp.load(webp.store(payload)).tobytes() == payload
 
 
+def tools_of(media):
+    """Which tools the encoder used, from the file's head: a transform's kind, the colour cache, or neither."""
+    bits = webp.Bits(bytes(media[20:]))
+    bits.read(24)
+    bits.read(16)
+    if bits.read(1):
+        return f"transform {bits.read(2)}"
+    return "cache" if bits.read(1) else "no cache"
+
+
+def test_webp_refers_back_where_that_is_smaller():
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))
+    triples = ["".join(r.choice("abcdefghij") for _ in range(3)) for _ in range(24)]
+    texts = {"periodic": "The " * 700, "pairs": "ab" * 400, "line": line * 9, "triples": "".join(r.choice(triples) for _ in range(3000)), "few": "".join(r.choice(triples[:8]) for _ in range(3000)), "prose": line * 1, "blank": " " * 600, "spam": "spam! " * 50 + "end", "one": "x"}
+    found = {}
+    for name, text in texts.items():
+        payload = webp.payload_of(text.encode())
+        rows = np.frombuffer(payload, np.uint8).reshape(-1, webp.WIDTH, webp.CHANNELS)
+        media, plain = webp.store(payload), webp.encode_literals(rows)
+        assert webp.load(media).tobytes() == payload and len(media) <= len(plain)
+        every = webp.encode_repeats(rows)
+        assert every is None or webp.load(every).tobytes() == payload
+        found[name] = tools_of(media) if len(media) < len(plain) else "literals"
+    assert found["periodic"] == found["line"] == "no cache" and found["few"] == "transform 3" and found["triples"] == "cache" and found["prose"] == "literals", found
+    colours = np.array([0xFF000000 | i * 7919 for i in range(40)], np.uint32)
+    pixels = colours[np.random.default_rng(0).integers(0, 40, 64 * 30)]
+    parts = webp.copies(pixels) or []
+    for cache_bits in (0, 1, 5, 11):
+        values, widths = webp.entropy_coded(pixels, 64, True, parts, cache_bits)
+        bits = webp.Bits(webp.put(np.array(values), np.array(widths)) + bytes(8))
+        assert np.array_equal(webp.read_pixels(bits, 64, 30, True), pixels)
+
+
 # WARC
 
 
