@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,24 +50,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors; goes when the driver ends."""
     spark = df.sparkSession
     path = until_exit(spark, fresh_path(spark, name))
-    df.write.mode("append").option("compression", "zstd").parquet(path)
+    with shuffles_cleared(spark):
+        df.write.mode("append").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
 
 
-def drop_written(*tables: DataFrame, collect: bool = True) -> None:
-    """Remove tables made by written() that no plan reads any more, and let Spark clear the shuffles behind them.
+#: Spark's setting that removes a query's shuffle files when the query ends; what is written is all that is read later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Spark clears the files of a shuffle when the driver's objects for it are collected, so a collection is asked for.
-    """
+
+@contextmanager
+def shuffles_cleared(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables made by written() that no plan reads any more."""
     for df in tables:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(df._weft_path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if tables and collect:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
 
 
 class Scratch:

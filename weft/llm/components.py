@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(_least(large), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         after = written(small, "links")
-        drop_written(edges, collect=False)
+        drop_written(edges)
         edges, last = after, before
         before = _mark(edges)
         if before == last:
