@@ -22,9 +22,11 @@ BUCKET_BYTES = 16 << 20
 
 def how_many(df: DataFrame) -> int:
     """Buckets for what is sent from df: two for each shuffle partition, more where these would grow too large."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size < 1 << 60  # else Spark has no statistics
-    return min(max(2 * shuffle_width(df.sparkSession), size // BUCKET_BYTES if known else 0), 1 << 30)
+    # of the tables read, as Spark's estimate for a join is the product of its sides
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond, Spark knows none
+    return min(max(2 * shuffle_width(df.sparkSession), size // BUCKET_BYTES), 1 << 30)
 
 
 def schema(fields: dict[str, str]) -> str:
