@@ -244,6 +244,28 @@ def test_line_dedup_threshold_grows(spark, monkeypatch, bucket):
     assert by_id(line_dedup.report(table(spark, list(enumerate(lines)))), "n_equal", "n_near") == want
 
 
+def test_line_dedup_groups_of_near_copies(spark, monkeypatch):
+    written, found = line_dedup.far_later, []
+    monkeypatch.setattr(line_dedup, "far_later", lambda *a: found.append(written(*a)) or found[0])
+    monkeypatch.setattr(line_dedup.Scratch, "clear", lambda *a: None)  # the tables stay for the count below
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    copies = [" ".join([*base[:p], base[p][:3] + "x" + base[p][4:], *base[p + 1 :]]) for p in range(60)]
+    copies += [" ".join([*base[:p], base[p] + "yz"[p % 2], *base[p + 1 :]]) for p in range(60)]
+    junk = [" ".join(["spam"] * n + ["eggs"] * (60 - n)) for n in range(0, 61, 20)] + [" ".join(["spam"] * 61)]
+    lines = copies + junk
+    want = {i: (0, int(any(edits_between(o, x) <= 5 for o in lines[:i]))) for i, x in enumerate(lines)}
+    assert sum(v[1] for v in want.values()) == 120
+    assert by_id(line_dedup.report(table(spark, list(enumerate(lines)))), "n_equal", "n_near") == want
+    assert found[0].count() == 120  # a row of each line, where a row of each pair would be 7,141
+
+
+def test_line_dedup_words_stay_in_their_row(spark):
+    line = " ".join(["spam"] * 600 + ["eggs"] * 600)
+    keys = spark.createDataFrame([(line, 100)], "line string, edits int").select(line_dedup.signature(F.col("line"), F.col("edits")).alias("s")).first().s["keys"]
+    assert len(keys) == len(set(keys)) <= 2 * 201 and len(keys) >= 201
+
+
 def test_banded_distance(spark):
     r = random.Random(4)
     pairs = []
